@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,10 @@ class NeighborConfig:
     k: int = 5
     dim: int = 64
     sample: int = 20_000
-    calibration: int = 1_000
-    recall: float = 0.99
-    shard_rows: int = 6_000
-    shard_cap: int = 24_000
+    calibration: int = 400
+    recall: float = 0.98
+    shard_rows: int = 12_000
+    shard_cap: int = 48_000
     leaf_rows: int = 64
     branch: int = 16
     max_shards: int = 4_096
@@ -65,7 +65,8 @@ class KMeansTree:
     centers: np.ndarray
     parent: np.ndarray
     leaf: np.ndarray
-    label: np.ndarray = field(repr=False)  # leaf number of each fitted row
+    label: np.ndarray | None = field(repr=False)  # leaf number of each fitted row
+    fitted: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def fit(cls, x: np.ndarray, leaf_rows: int, branch: int, seed: int, max_leaves: int = 1 << 30) -> KMeansTree:
@@ -247,66 +248,97 @@ def nearest_vectors(vectors: DataFrame, cfg: NeighborConfig = NeighborConfig(),
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     dim = cfg.dim
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = source.count()
+    upper = _fit_upper(source, total, cfg)
+    if upper is None:
+        return spark.createDataFrame([], "id long, neighbor_id long, similarity double, rank int")
+    tree, probes = upper
+    shared = spark.sparkContext.broadcast((replace(tree, fitted=None, label=None), probes))  # max_shards centroids and cfg.calibration vectors
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, key, -1, 0) of each usable row; (id, shard, query, cosine) of the batch's best for each calibration query."""
+        top, asked = shared.value
         for b in batches:
             ids, x = unit_rows(b, dim)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(row_keys(x))], names=["id", "key"])
-
-    members = materialize(source.mapInArrow(keys, "id long, key long").distinct(), "vector_keys")
-    per_key = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    copied = materialize(per_key.where("n > 1"), "vector_copies")
-    total = members.count()
+            if not len(x):
+                continue
+            s = asked @ x.T
+            near = np.argpartition(-s, min(cfg.k + 1, len(x)) - 1, axis=1)[:, : cfg.k + 1] if len(x) > 1 else np.zeros((len(asked), 1), np.int64)
+            hit = near.ravel()
+            shard = top.priorities(x[hit]).argmax(axis=1)
+            query = np.repeat(np.arange(len(asked), dtype=np.int32), near.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[ids, ids[hit]]), pa.array(np.r_[row_keys(x), shard]), pa.array(np.r_[np.full(len(ids), -1, np.int32), query]), pa.array(np.r_[np.zeros(len(ids), np.float32), np.take_along_axis(s, near, axis=1).ravel()])],
+                names=["id", "key", "query", "sim"],
+            )
+
+    seen = materialize(source.mapInArrow(first_pass, "id long, key long, query int, sim float"), "vector_keys")
+    members = materialize(seen.where("query < 0").select("id", "key").distinct(), "vector_members")
+    copied = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1"), "vector_copies")
+    margin = _margin(seen.where("query >= 0"), tree, probes, cfg)
     has_copies = not copied.isEmpty()
     if has_copies:  # keep one row of each group of copies in the search
         spare = members.join(copied, "key").where("id != rep").select("id")
         searched = source.join(spare, "id", "left_anti")
     else:
         searched = source
-    tree, margin = _fit_upper(searched, total, cfg)
-    nn = _search(searched, tree, margin, cfg) if tree is not None else spark.createDataFrame([], "id long, neighbor_id long, similarity double")
+    nn = _search(searched, tree, margin, total, cfg)
     if has_copies:
         nn = _expand_copies(nn, members, copied, cfg.k)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor_id"))
     return nn.withColumn("rank", rank).where(F.col("rank") <= cfg.k)
 
 
-def _fit_upper(source: DataFrame, total: int, cfg: NeighborConfig) -> tuple[KMeansTree | None, float]:
-    """The upper tree and the similarity margin within which other shards are opened."""
+def _fit_upper(source: DataFrame, total: int, cfg: NeighborConfig) -> tuple[KMeansTree, np.ndarray] | None:
+    """The upper tree, fitted on at most ``1.25 * sample`` rows, and the calibration queries; None without usable rows."""
     if not total:
-        return None, 0.0
+        return None
     share = min(1.0, cfg.sample / total)
-    picked = source.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))) | F.lit(share >= 1)).limit(int(cfg.sample * 1.25))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = unit_rows(b, cfg.dim)
             yield pa.RecordBatch.from_arrays([pa.array(ids), _bytes_column(x)], names=["id", "x"])
 
-    rows = picked.mapInArrow(pack, "id long, x binary").toArrow()
-    if not rows.num_rows:
-        rows = source.limit(cfg.sample).mapInArrow(pack, "id long, x binary").toArrow()
-    ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
-    if not len(ids):
-        return None, 0.0
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, cfg.dim)[first]
+    def fetch(rows: DataFrame) -> np.ndarray:
+        got = rows.mapInArrow(pack, "id long, x binary").toArrow()
+        x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, cfg.dim)
+        x = x[np.argsort(got.column("id").to_numpy(), kind="stable")]
+        return x[np.sort(np.unique(row_keys(x), return_index=True)[1])] if len(x) else x
+
+    picked = source if share >= 1 else source.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    x = fetch(picked.limit(int(cfg.sample * 1.25)))
+    if not len(x):
+        x = fetch(source.where(F.size("v") == cfg.dim).where(F.exists("v", lambda e: e != 0)).limit(cfg.sample))
+    if not len(x):
+        return None
     shards = min(cfg.max_shards, max(1, math.ceil(total / cfg.shard_rows)))
-    tree = KMeansTree.fit(x, max(2, math.ceil(len(x) / shards)) if shards > 1 else len(x) + 1, cfg.branch, cfg.seed)
     if shards == 1:
         tree = KMeansTree(np.zeros((1, cfg.dim), np.float32), np.array([-1]), np.array([0]), np.zeros(len(x), np.int64))
-    if tree.n_leaves == 1 or len(x) <= cfg.k + 1:
-        return tree, 9.0
+    else:
+        tree = KMeansTree.fit(x, max(2, math.ceil(len(x) / shards)), cfg.branch, cfg.seed)
+    tree.label = tree.priorities(x).argmax(axis=1)
     rng = np.random.default_rng(cfg.seed)
-    probe = rng.choice(len(x), min(len(x), cfg.calibration), replace=False)
-    true = exact_top(x, x[probe], probe, cfg.k)
-    key = tree.priorities(x[probe])
-    home = tree.priorities(x).argmax(axis=1)
-    need = key.max(axis=1, keepdims=True) - np.take_along_axis(key, home[true], axis=1)
-    return tree, float(np.quantile(need, cfg.recall, method="higher"))
+    return replace(tree, fitted=x), x[rng.choice(len(x), min(len(x), cfg.calibration), replace=False)]
 
 
-def _search(source: DataFrame, tree: KMeansTree, margin: float, cfg: NeighborConfig) -> DataFrame:
+def _margin(found: DataFrame, tree: KMeansTree, probes: np.ndarray, cfg: NeighborConfig) -> float:
+    """The similarity margin within which other shards must be opened to reach the recall on the calibration queries,
+    whose true neighbours are taken from all rows."""
+    if tree.n_leaves == 1:
+        return 0.0
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
+    rows = found.distinct().withColumn("place", best).where(f"place > 1 and place <= {cfg.k + 1}").select("query", "key").toArrow()  # k * calibration rows
+    if not rows.num_rows:
+        return 9.0
+    key = tree.priorities(probes)
+    q, shard = rows.column("query").to_numpy(), rows.column("key").to_numpy()
+    return float(np.quantile(key.max(axis=1)[q] - key[q, shard], cfg.recall, method="higher"))
+
+
+def _search(source: DataFrame, tree: KMeansTree, margin: float, total: int, cfg: NeighborConfig) -> DataFrame:
     spark = source.sparkSession
-    shared = spark.sparkContext.broadcast((tree, margin))  # at most max_shards centroids
+    shared = spark.sparkContext.broadcast((replace(tree, fitted=None, label=None), margin))  # at most max_shards centroids
 
     def bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home shard of each row and the (row, shard) visits to others."""
@@ -318,29 +350,21 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, cfg: NeighborCon
         row, shard = np.nonzero(near)
         return home, row, shard
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, visits = np.zeros(tree_leaves, np.int64), np.zeros(tree_leaves, np.int64)
-        for b in batches:
-            home, _, shard = bins(unit_rows(b, dim)[1])
-            points += np.bincount(home, minlength=tree_leaves)
-            visits += np.bincount(home, minlength=tree_leaves) + np.bincount(shard, minlength=tree_leaves)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tree_leaves)), pa.array(points), pa.array(visits)], names=["shard", "points", "visits"])
-
     tree_leaves, dim, cap = tree.n_leaves, cfg.dim, cfg.shard_cap
-    sizes = source.mapInArrow(count, "shard long, points long, visits long").groupBy("shard").agg(F.sum("points").alias("p"), F.sum("visits").alias("q")).collect()  # max_shards rows
-    p_parts, q_parts = np.ones(tree_leaves, np.int64), np.ones(tree_leaves, np.int64)
-    for r in sizes:  # a hot shard is cut into parts of at most shard_cap points and 2 * shard_cap visits
-        p_parts[r["shard"]] = max(1, -(-r["p"] // cap))
-        q_parts[r["shard"]] = max(1, -(-r["q"] // (2 * cap)))
+    # sizes of the shards, carried over from the fitted sample; a hot shard is cut into parts of about shard_cap points
+    # and 2 * shard_cap visits, so that no task holds an unbounded group
+    scale = total / len(tree.fitted)
+    near = tree.priorities(tree.fitted)
+    near = near >= near.max(axis=1, keepdims=True) - margin
+    points = np.bincount(tree.label, minlength=tree_leaves) * scale
+    p_parts = np.maximum(1, np.ceil(points / cap)).astype(np.int64)
+    q_parts = np.maximum(1, np.ceil(near.sum(axis=0) * scale / (2 * cap))).astype(np.int64)
     base = np.r_[0, np.cumsum(p_parts * q_parts)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = unit_rows(b, dim)
             home, row, shard = bins(x)
-            alone = np.ones(len(x), bool)
-            alone[row] = False
-            alone &= p_parts[home] == 1
             # the row as a point: once for each query part of its home; as a query: once for each point part of all shards it opens
             salt = row_keys(x) if len(x) else np.zeros(0, np.int64)
             rows, cells, roles = [], [], []
@@ -365,10 +389,10 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, cfg: NeighborCon
             drop = np.r_[False, both[:-1]] if len(r) else both
             role = np.where(both, 2, role)[~drop]
             r, c = r[~drop], c[~drop]
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids[r]), pa.array(role.astype(np.int32)), pa.array(alone[r]), _bytes_column(x[r])], names=["cell", "id", "role", "alone", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids[r]), pa.array(role.astype(np.int32)), _bytes_column(x[r])], names=["cell", "id", "role", "x"])
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        ids, role, alone = (table.column(n).to_numpy() for n in ("id", "role", "alone"))
+        ids, role = table.column("id").to_numpy(), table.column("role").to_numpy()
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, dim)
         p = np.flatnonzero(role != 1)
         p = p[np.unique(ids[p], return_index=True)[1]]
@@ -378,12 +402,11 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, cfg: NeighborCon
             a, n, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
             a, n, s = search_shard(ids[p], x[p], ids[q], x[q], cfg)
-        solo = alone[q][np.searchsorted(ids[q], a)] if len(a) else np.zeros(0, bool)
-        return pa.table({"id": a, "neighbor_id": n, "similarity": s, "alone": solo})
+        return pa.table({"id": a, "neighbor_id": n, "similarity": s})
 
-    routed = source.mapInArrow(route, "cell long, id long, role int, alone boolean, x binary")
+    routed = source.mapInArrow(route, "cell long, id long, role int, x binary")
     cells = int(base[-1])
-    return routed.repartition(min(cells, max(parallelism(spark), cells // 2)), "cell").groupBy("cell").applyInArrow(search, "id long, neighbor_id long, similarity double, alone boolean").drop("alone")
+    return routed.repartition(min(cells, max(parallelism(spark), cells // 2)), "cell").groupBy("cell").applyInArrow(search, "id long, neighbor_id long, similarity double")
 
 
 def _expand_copies(nn: DataFrame, members: DataFrame, copied: DataFrame, k: int) -> DataFrame:
