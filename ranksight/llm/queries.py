@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranksight.llm import vectors
+from ranksight.llm import neardup, splitting, terms, vectors
 from ranksight.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,70 @@ def p1_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_vectors(load(spark, sf_dir, "chunks_vec"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbors)}
+CHUNK_GROUPS = neardup.NearDupConfig(words=3, similarity=0.5, min_words=20)
 
-SQL: dict[str, str] = {}
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_pairs(p2_groups(spark, sf_dir).withColumnRenamed("chunk_id", "id"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = neardup.near_duplicate_groups(load(spark, sf_dir, "chunks"), CHUNK_GROUPS, "chunk_id", "text", "skill_name")
+    return groups.withColumnRenamed("id", "chunk_id")
+
+
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_frequencies(spark, sf_dir).where("mark is not null").select("entity", "mark")
+
+
+def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.name_frequencies(load(spark, sf_dir, "skill_entities"))
+
+
+def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.text_term_frequencies(load(spark, sf_dir, "documents"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(load(spark, sf_dir, "chunks"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p1_found, p1_neighbors, p2_found, p2_groups, p2_documents, p3_found, p3_frequencies, p3_terms, p4_found, p4_pieces)
+}
+
+_ENTITY = r"""
+clean AS (SELECT nullif(regexp_replace(lower(regexp_replace(entity_name, '^\s+|\s+$', '', 'g')), '[\s_-]+', '-', 'g'), '') AS entity,
+                 lower(regexp_replace(skill_name, '^\s+|\s+$', '', 'g')) AS record FROM skill_entities),
+counts AS (SELECT entity, count(*) AS n_rows, count(DISTINCT record) AS n_records FROM clean WHERE entity IS NOT NULL GROUP BY entity),
+marked AS (SELECT entity, n_rows, n_records, CASE WHEN n_records < 3 THEN 'rare'
+                  WHEN n_records > 0.20 * (SELECT count(DISTINCT record) FROM clean) THEN 'common' END AS mark FROM counts)"""
+
+SQL: dict[str, str] = {
+    "p2_found": r"""
+WITH RECURSIVE w AS (SELECT chunk_id, lower(trim(skill_name)) AS skill, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
+                     FROM (SELECT DISTINCT chunk_id, text, skill_name FROM chunks WHERE skill_name IS NOT NULL)),
+t AS (SELECT * FROM w WHERE len(w) >= 20),
+runs AS (SELECT DISTINCT chunk_id, skill, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT chunk_id, skill, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+size AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS n FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id AND a.skill <> b.skill GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size x ON x.chunk_id = a JOIN size y ON y.chunk_id = b WHERE shared.n >= 0.5 * (x.n + y.n - shared.n)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS s, a AS e FROM edge UNION SELECT s, b FROM reach JOIN edge ON e = a)
+SELECT s AS chunk_id_a, e AS chunk_id_b FROM reach WHERE s < e""",
+    "p3_found": ("WITH " + _ENTITY + " SELECT entity, mark FROM marked WHERE mark IS NOT NULL"),
+    "p3_frequencies": ("WITH " + _ENTITY + " SELECT entity, n_rows, n_records, mark FROM marked"),
+    "p3_terms": r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+c AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM w GROUP BY term)
+SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.20 * (SELECT count(DISTINCT doc_id) FROM documents) THEN 'common' END AS mark FROM c""",
+    "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1500",
+}
