@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranksight.llm import neardup, splitting, terms, vectors
+from ranksight.llm import leakage, mixture, neardup, repetition, splitting, terms, vectors
 from ranksight.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,48 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(load(spark, sf_dir, "chunks"))
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_neighbors, p2_found, p2_groups, p2_documents, p3_found, p3_frequencies, p3_terms, p4_found, p4_pieces)
-}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.contaminated_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = leakage.LeakConfig(slop=2)
+    return leakage.leaked_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), near)
+
+
+#: The mixture ends with more curated notes than it begins with, at the cost of raw logs.
+CURRICULUM = mixture.MixtureConfig(slopes={"skill_note": 0.08, "session_log": -0.08})
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.training_order(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), CURRICULUM)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.training_order(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), CURRICULUM)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_cleaned(spark, sf_dir).where("verdict = 'repetition'").select("doc_id").distinct()
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.clean_documents(load(spark, sf_dir, "documents"))
+
+
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_cleaned(spark, sf_dir).select("doc_id", "n_words", "repeated_words")
+
+
+_ALL = (p1_found, p1_neighbors, p2_found, p2_groups, p2_documents, p3_found, p3_frequencies, p3_terms, p4_found, p4_pieces, p6_found, p6_passages, p7_mixture, p7_shares, p8_found, p8_cleaned, p8_share)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+
+_REPEATED = r"""
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+run AS (SELECT doc_id, i, w[i:i + 4] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM run) WHERE k > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) AS r(k) GROUP BY doc_id),
+share AS (SELECT w.doc_id, len(w.w) AS n_words, coalesce(hit.n, 0) AS repeated_words FROM w LEFT JOIN hit USING (doc_id))"""
 
 _ENTITY = r"""
 clean AS (SELECT nullif(regexp_replace(lower(regexp_replace(entity_name, '^\s+|\s+$', '', 'g')), '[\s_-]+', '-', 'g'), '') AS entity,
@@ -86,4 +125,12 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'
 c AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM w GROUP BY term)
 SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.20 * (SELECT count(DISTINCT doc_id) FROM documents) THEN 'common' END AS mark FROM c""",
     "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1500",
+    "p6_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dr AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)""",
+    "p8_found": "WITH " + _REPEATED + " SELECT doc_id FROM share WHERE n_words > 0 AND repeated_words >= 0.30 * n_words",
+    "p8_share": "WITH " + _REPEATED + " SELECT doc_id, coalesce(n_words, 0) AS n_words, repeated_words FROM share",
 }
