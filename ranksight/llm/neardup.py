@@ -25,33 +25,40 @@ from ranksight.llm.shingles import mix, run_hashes, word_hashes
 from ranksight.operators.components import connected_components
 from ranksight.runtime import materialize, parallelism
 
-BITS = 128
+BITS = 256
+SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 
 @dataclass(frozen=True)
 class NearDupConfig:
-    """``ranked`` bounds the table of frequent runs, ``shard_cap`` the members of a shard's block."""
+    """``sketch`` bounds the bytes of the sketch of run counts, ``shard_cap`` the members of a shard's block. In shards of up to
+    ``paired`` members those that can have no partner there, by sizes and places of the shared run, are dropped early."""
 
     words: int = 5
     similarity: float = 0.8
     min_words: int = 20
-    ranked: int = 1 << 18
+    sketch: int = 1 << 24
     shard_cap: int = 2_048
+    paired: int = 64
     pack_rows: int = 400_000
 
     def budget(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Most runs in which sets of these sizes may differ and still be similar."""
         return np.floor((a + b) * (1 - self.similarity) / (1 + self.similarity) + 1e-9)
 
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least runs that similar sets of these sizes share."""
+        return np.ceil((a + b) * self.similarity / (1 + self.similarity) - 1e-9)
+
     def prefix(self, size: np.ndarray) -> np.ndarray:
         """Rarest runs of which similar sets share at least one."""
         return size - np.ceil(size * self.similarity - 1e-9).astype(np.int64) + 1
 
 
 def signatures(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """[n, 2] uint64: bit b is the parity of the owner's tokens with residue b."""
+    """[n, BITS / 64] uint64: bit b is the parity of the owner's tokens with residue b."""
     ones = np.bincount(owner * BITS + (tokens % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(ones.astype(np.uint8).reshape(n, BITS), axis=1).view(">u8").astype(np.uint64).reshape(n, 2)
+    return np.packbits(ones.astype(np.uint8).reshape(n, BITS), axis=1).view(">u8").astype(np.uint64).reshape(n, BITS // 64)
 
 
 def trie_self_join(shard: np.ndarray, sig: np.ndarray, size: np.ndarray, cfg: NearDupConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +67,7 @@ def trie_self_join(shard: np.ndarray, sig: np.ndarray, size: np.ndarray, cfg: Ne
     The trie is the rows sorted by (shard, signature): a node is a range of rows that agree on the bits above its
     depth. All node pairs of one depth are expanded together; pairs of single rows are settled at once.
     """
-    order = np.lexsort((sig[:, 1], sig[:, 0], shard))
+    order = np.lexsort((*sig.T[::-1], shard))
     shard, sig, size = shard[order], sig[order], size[order].astype(np.int64)
     start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
     end = np.r_[start[1:], len(shard)]
@@ -105,7 +112,7 @@ def trie_self_join(shard: np.ndarray, sig: np.ndarray, size: np.ndarray, cfg: Ne
 
 
 def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str, group_col: str | None) -> DataFrame:
-    """(id, grp, cls, size, s0, s1, runs) of each text with enough words; ``runs`` are the sorted distinct run hashes.
+    """(id, grp, cls, size, s0.., runs) of each text with enough words; ``runs`` are the sorted distinct run hashes.
 
     ``grp`` is the group name without outer blanks in lower case; with a group column, rows without a name are left out.
     """
@@ -135,12 +142,12 @@ def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids.fill_null(0).to_numpy(zero_copy_only=False)[rows]), pa.array([grp[i] for i in rows], pa.string()), pa.array(cls[rows].view(np.int64)), pa.array(size[rows].astype(np.int32)),
-                    pa.array(sig[rows, 0].view(np.int64)), pa.array(sig[rows, 1].view(np.int64)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary()),
+                    *[pa.array(np.ascontiguousarray(sig[rows, i]).view(np.int64)) for i in range(len(SIGNATURE))], pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary()),
                 ],
-                names=["id", "grp", "cls", "size", "s0", "s1", "runs"],
+                names=["id", "grp", "cls", "size", *SIGNATURE, "runs"],
             )
 
-    return texts.select(*columns).mapInArrow(build, "id long, grp string, cls long, size int, s0 long, s1 long, runs binary")
+    return texts.select(*columns).mapInArrow(build, f"id long, grp string, cls long, size int, {' long, '.join(SIGNATURE)} long, runs binary")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -148,35 +155,73 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(runs.to_pylist()), np.uint64), batch.column(batch.schema.get_field_index("size")).to_numpy().astype(np.int64)
 
 
-def frequent_runs(sets: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs in so many texts that at most ``ranked`` runs can be, with their counts, sorted by run.
+def run_sketch(sets: DataFrame, cfg: NearDupConfig) -> np.ndarray:
+    """A count sketch of the runs of all texts: uint8 codes that grow with the number of texts in a bucket.
 
-    Any order of runs gives the same links, so counts below a batch's threshold may be left out.
+    It ranks runs from rare to frequent. Any ranking gives the same links; a close one keeps the shards small. Its size
+    follows the collection up to ``sketch`` buckets, so the driver holds and broadcasts at most that many bytes.
     """
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    size = 1 << 16
+    while size < min(cfg.sketch, total // 4):
+        size *= 2
+    segments = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, np.uint32)
         for b in batches:
             h, _ = _flat(b)
-            run, n = np.unique(h, return_counts=True)
-            ok = n >= max(3, len(h) / ranked)
-            yield pa.RecordBatch.from_arrays([pa.array(run[ok].view(np.int64)), pa.array(n[ok])], names=["run", "n"])
+            np.add.at(seen, (h & np.uint64(size - 1)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(segments)), pa.array([_planes(x) for x in seen.reshape(segments, -1)], pa.binary())], names=["segment", "counts"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, total = None, None
+        for b in batches:
+            for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if s != segment and total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([_code(total).tobytes()], pa.binary())], names=["segment", "codes"])
+                    total = None
+                segment = s
+                part = _unplanes(raw, np.uint32).astype(np.int64)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([_code(total).tobytes()], pa.binary())], names=["segment", "codes"])
+
+    parts = sets.select("size", "runs").mapInArrow(count, "segment long, counts binary")
+    found = parts.repartition(8, "segment").sortWithinPartitions("segment").mapInArrow(code, "segment long, codes binary").toArrow()
+    out = np.zeros((segments, size // segments), np.uint8)
+    for s, raw in zip(found.column("segment").to_pylist(), found.column("codes").to_pylist()):
+        out[s] = np.frombuffer(raw, np.uint8)
+    return out.ravel()
+
+
+def _code(count: np.ndarray) -> np.ndarray:
+    """Eight steps for each doubling of 1 + count."""
+    return np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8)
 
-    all_runs = sets.agg(F.sum("size")).first()[0] or 0
-    found = sets.select("size", "runs").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, all_runs / ranked)).toArrow()
-    run, n = found.column("run").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    o = np.argsort(run)
-    return run[o], n[o]
+
+def _decode(code: np.ndarray) -> np.ndarray:
+    return np.exp2(code / 8.0) - 1
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of one significance together, so that the zero bytes of small numbers vanish in the shuffle's compression."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(shard, id): the shards, each with at least two ids, in which each text takes part."""
     spark = sets.sparkSession
-    ranked = spark.sparkContext.broadcast(frequent_runs(sets, cfg.ranked))  # at most cfg.ranked entries
+    sketch = spark.sparkContext.broadcast(run_sketch(sets, cfg))  # at most cfg.sketch bytes
     rows = sets.agg(F.sum("size")).first()[0] or 0
     parts = max(1, min(1 << 16, max(parallelism(spark), int(rows * (1 - cfg.similarity)) // cfg.pack_rows)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, times = ranked.value
+        codes = sketch.value
         for b in batches:
             cls = b.column(b.schema.get_field_index("cls")).to_numpy()
             first = np.sort(np.unique(cls, return_index=True)[1])  # copies within a batch count once
@@ -184,77 +229,81 @@ def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
             ids = b.column(b.schema.get_field_index("id")).to_numpy()
             h, size = _flat(b)
             owner = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-            known = (hot[at] == h) if len(hot) else np.zeros(len(h), bool)
-            n = np.where(known, times[at] if len(hot) else 0, 0)
+            n = codes[(h & np.uint64(len(codes) - 1)).astype(np.int64)]
             o = np.lexsort((h, n, owner))
             place = np.arange(len(h)) - np.r_[0, np.cumsum(size)][:-1][owner]
             pick = o[place < cfg.prefix(size)[owner]]
-            h, n, member = h[pick], n[pick], ids[owner[pick]]
+            h, n, member, place, size = h[pick], n[pick], ids[owner[pick]], place[place < cfg.prefix(size)[owner]], size[owner[pick]]
             # a hot shard is cut into blocks; a member joins the shards of all pairs with its block
-            blocks = np.maximum(1, -(-n // cfg.shard_cap))
+            blocks = np.maximum(1, np.ceil(_decode(n) / cfg.shard_cap)).astype(np.int64)
             mine = (mix(member.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(h)), blocks)
             other = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks)][:-1], blocks)
             lo, hi = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
             shard = np.where(blocks[rep] > 1, mix(h[rep] + (lo * 65_537 + hi + 1).astype(np.uint64)), h[rep])
-            member = member[rep]
+            member, place, size = member[rep], place[rep].astype(np.int32), size[rep].astype(np.int32)
             part = (shard >> np.uint64(48)).astype(np.int64) * parts >> 16
             o = np.lexsort((shard, part))
-            shard, member, part = shard[o], member[o], part[o]
+            shard, member, place, size, part = shard[o], member[o], place[o], size[o], part[o]
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            # bytes of one significance lie together, so that the zero bytes of small ids vanish in the shuffle's compression
-            planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full), pa.array([shard[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.array([planes(member[cut[i] : cut[i + 1]]) for i in full], pa.binary())],
-                names=["part", "shard", "member"],
-            )
+            cols = [pa.array([_planes(x[cut[i] : cut[i + 1]]) for i in full], pa.binary()) for x in (shard, member, size, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(full), *cols], names=["part", "shard", "member", "size", "place"])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each part, the shards with more than one member. A part comes in one piece of rows."""
+        """Of each part, the members that may have a partner in their shard. A part comes in one piece of rows."""
         part, held = None, []
 
         def flush() -> pa.RecordBatch:
-            shard = np.concatenate([np.frombuffer(s, np.uint64) for s, _ in held])
-            member = np.concatenate([np.ascontiguousarray(np.frombuffer(m, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for _, m in held])
+            shard, member, size, place = (np.concatenate([_unplanes(x[i], k) for x in held]) for i, k in enumerate((np.uint64, np.int64, np.int32, np.int32)))
             o = np.argsort(shard, kind="stable")
-            shard, member = shard[o], member[o]
-            same = shard[1:] == shard[:-1]
-            ok = np.r_[same, False] | np.r_[False, same]
+            shard, member, size, place = shard[o], member[o], size[o].astype(np.int64), place[o].astype(np.int64)
+            start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            count = np.diff(np.r_[start, len(shard)])
+            group = np.repeat(np.arange(len(start)), count)
+            ok = count[group] > cfg.paired
+            small = np.where(ok, -1 - np.arange(len(shard)), group)
+            for k in range(1, min(cfg.paired, int(count.max()))):
+                a = np.flatnonzero(small[k:] == small[:-k])
+                b = a + k
+                # the first run two similar sets share leaves enough runs behind it in both
+                most = 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
+                good = (most >= cfg.overlap(size[a], size[b])) & (member[a] != member[b])
+                ok[a[good]] = True
+                ok[b[good]] = True
             return pa.RecordBatch.from_arrays([pa.array(shard[ok].view(np.int64)), pa.array(member[ok])], names=["shard", "id"])
 
         for b in batches:
-            for p, s, m in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for p, *packed in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if p != part and held:
                     yield flush()
                     held = []
                 part = p
-                held.append((s, m))
+                held.append(packed)
         if held:
             yield flush()
 
-    packed = sets.select("id", "cls", "size", "runs").mapInArrow(emit, "part long, shard binary, member binary")
+    packed = sets.select("id", "cls", "size", "runs").mapInArrow(emit, "part long, shard binary, member binary, size binary, place binary")
     return packed.repartition(min(parts, 4 * parallelism(spark)), "part").sortWithinPartitions("part").mapInArrow(survivors, "shard long, id long")
 
 
 def candidate_pairs(members: DataFrame, sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(a, b): pairs of classes, a < b, that the trie self-join leaves in some shard."""
     spark = sets.sparkSession
-    signed = members.join(sets.select("id", "cls", "size", "s0", "s1").dropDuplicates(["id", "cls"]), "id").select("shard", "cls", "size", "s0", "s1")
+    signed = members.join(sets.select("id", "cls", "size", *SIGNATURE).dropDuplicates(["id", "cls"]), "id").select("shard", "cls", "size", *SIGNATURE)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def pairs(x: list[np.ndarray]) -> pa.RecordBatch:
-            shard, cls, size, s0, s1 = x
-            a, b = trie_self_join(shard, np.stack([s0, s1], axis=1).view(np.uint64), size, cfg)
+            shard, cls, size, *sig = x
+            a, b = trie_self_join(shard, np.stack(sig, axis=1).view(np.uint64), size, cfg)
             a, b = cls[a], cls[b]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:  # sorted by shard; the last shard of a batch may go on in the next
-            now = [batch.column(i).to_numpy() for i in range(5)]
+            now = [c.to_numpy() for c in batch.columns]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
             if not len(now[0]):
