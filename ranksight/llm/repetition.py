@@ -23,7 +23,9 @@ from ranksight.llm.shingles import run_hashes, word_hashes
 class CleaningRules:
     """``run``: words of a repeated run. A line fails from ``line_share`` repeated words on, a document from ``reject_share``.
 
-    ``symbol_share``: most characters of a line that may be punctuation. ``keep_share``: least words a document must keep.
+    A line is navigation if two ``navigation`` words follow each other in it, or if at least ``trail`` of one of the
+    ``separators`` cut it into parts of at most ``trail_part`` characters (table rows, which begin with one, are not);
+    boilerplate if it holds one of these phrases in any letter case. ``symbol_share``: most characters of a line that may be punctuation. ``keep_share``: least words a document must keep.
     """
 
     run: int = 5
@@ -31,8 +33,14 @@ class CleaningRules:
     reject_share: float = 0.30
     symbol_share: float = 0.5
     keep_share: float = 0.30
-    navigation: str = r"(?:(?:^|\s)(?:next|previous|prev|back|home|menu|top|contents|далее|назад|меню|наверх)(?=\s|$)\W*){2,}|(?:[^|›»→]{1,30}[|›»→]\s*){3,}[^|›»→]{0,30}$"
-    boilerplate: str = r"all rights reserved|cookie policy|terms of (?:use|service)|subscribe to|copyright ©|lorem ipsum|javascript is (?:disabled|required)|все права защищены"
+    navigation: tuple[str, ...] = ("next", "previous", "prev", "back", "home", "menu", "top", "contents", "далее", "назад", "меню", "наверх")
+    separators: str = "|›»→"
+    trail: int = 3
+    trail_part: int = 30
+    boilerplate: tuple[str, ...] = (
+        "all rights reserved", "cookie policy", "terms of use", "terms of service", "privacy policy", "subscribe to our",
+        "copyright ©", "lorem ipsum", "javascript is disabled", "javascript is required", "все права защищены",
+    )
 
 
 #: Names of the line rules, in the order of the bits in ``line_flags``.
@@ -43,7 +51,6 @@ _SPLIT = re.compile(r"\r\n|\r|\n")
 
 def judge(texts: list[str | None], rules: CleaningRules) -> dict[str, np.ndarray | list]:
     """Columns of the result for a list of texts; see ``clean_documents``."""
-    nav, boiler = re.compile(rules.navigation, re.IGNORECASE), re.compile(rules.boilerplate, re.IGNORECASE)
     lines = [_SPLIT.split(t) if t else [] for t in texts]
     flat = [x for ls in lines for x in ls]
     per_text = np.array([len(ls) for ls in lines], np.int64)
@@ -68,15 +75,26 @@ def judge(texts: list[str | None], rules: CleaningRules) -> dict[str, np.ndarray
     symbols = np.fromiter((_symbols(x) for x in flat), np.int64, len(flat))
     fails = np.zeros((len(flat), len(RULES)), bool)
     fails[:, 0] = (size > 0) & ((per_line == 0) | (symbols > rules.symbol_share * size))
-    fails[:, 1] = [nav.search(x) is not None for x in flat]
-    fails[:, 2] = [boiler.search(x) is not None for x in flat]
+    nav = np.isin(words, word_hashes([" ".join(rules.navigation)])[0])
+    fails[line_of[1:][nav[1:] & nav[:-1] & (line_of[1:] == line_of[:-1])], 1] = True
+    start = np.r_[0, np.cumsum(per_text)]
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        low = t.lower()
+        if any(c in t for c in rules.separators):
+            for j in range(start[i], start[i + 1]):
+                fails[j, 1] |= _is_trail(flat[j], rules)
+        for phrase in rules.boilerplate:
+            if phrase in low:
+                for j in range(start[i], start[i + 1]):
+                    fails[j, 2] |= phrase in flat[j].lower()
     fails[:, 3] = (per_line > 0) & (rep_line >= rules.line_share * per_line)
     gone = fails.any(axis=1)
     kept = np.bincount(owner, weights=np.where(gone, 0, per_line), minlength=len(texts)).astype(np.int64)
     share = np.where(per_doc > 0, rep_doc / np.maximum(per_doc, 1), 0.0)
     looped = (per_doc > 0) & (rep_doc >= rules.reject_share * per_doc)
     thin = (per_doc > 0) & (kept < rules.keep_share * per_doc)
-    start = np.r_[0, np.cumsum(per_text)]
     clean = [None if t is None else "\n".join(x for x, g in zip(ls, gone[start[i] : start[i + 1]]) if not g) for i, (t, ls) in enumerate(zip(texts, lines))]
     by_rule = [np.bincount(owner, weights=fails[:, k], minlength=len(texts)).astype(np.int64) for k in range(len(RULES))]
     return {
@@ -85,6 +103,14 @@ def judge(texts: list[str | None], rules: CleaningRules) -> dict[str, np.ndarray
     }
 
 
+def _is_trail(line: str, rules: CleaningRules) -> bool:
+    bare = line.strip()
+    for c in rules.separators:
+        if bare.count(c) >= rules.trail and not bare.startswith(c):
+            return all(len(x.strip()) <= rules.trail_part for x in bare.split(c))
+    return False
+
+
 _SYMBOL = re.compile(r"[^\w\s]|_")
 
 
