@@ -50,6 +50,9 @@ class Folder:
             self._fs.delete(draft, False)
             raise FileExistsError(f"{name} has been committed by another writer")
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), False)
+
     def text(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
         try:
