@@ -72,7 +72,7 @@ def bm25(index: InvertedIndex, wanted: DataFrame, k: int | None, allowed: DataFr
     """(query_id, id, score, rank) of the best ``k`` records of each query; all with k None.
 
     ``wanted`` comes from ``query_terms``. ``allowed`` (id) restricts the hits before the cut, but not the statistics.
-    Ties go to the smaller id. ``inverse`` gives 1 / (1 + score), which turns the order around, for comparison only.
+    Scores are rounded to 10 digits, so that equal records tie whatever the order of the sum; ties go to the smaller id. ``inverse`` gives 1 / (1 + score), which turns the order around, for comparison only.
     """
     tf = match_counts(index, wanted)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -82,7 +82,7 @@ def bm25(index: InvertedIndex, wanted: DataFrame, k: int | None, allowed: DataFr
     idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     occurrences = wanted.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    scored = rows.select("id", "term", part.alias("part")).join(occurrences, "term").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    scored = rows.select("id", "term", part.alias("part")).join(occurrences, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), 10).alias("score"))
     if inverse:
         scored = scored.withColumn("score", 1 / (1 + F.abs("score")))
     return top_k(scored, k)

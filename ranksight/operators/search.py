@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranksight.functions.stem import stem_query_column
 from ranksight.functions.text import snippet
@@ -40,7 +41,7 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", column: str =
 
     A failure is tried again once, then fails the job: no row is ever stored without its vector.
     """
-    schema = rows.schema.add(column, "array<float>") if column not in rows.columns else rows.schema
+    schema = T.StructType([f for f in rows.schema.fields if f.name != column] + [T.StructField(column, T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -57,7 +58,7 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", column: str =
                     raise RuntimeError(f"{len(got)} vectors for {len(texts)} texts")
                 for i, v in zip(part, got):
                     found[i] = v
-            yield f.assign(**{column: found})
+            yield f.assign(**{column: found})[schema.names]
 
     return rows.mapInPandas(run, schema)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ranksight.operators import incremental
+from ranksight.operators import incremental, lifecycle
+from ranksight.operators.versions import VersionedTable
 from ranksight.plans.catalogue import query
-from ranksight.runtime import load
+from ranksight.runtime import load, shared_dir
 
 
 @query(
@@ -28,3 +32,61 @@ WHERE h.item_key IS NULL OR (s.mark IS NOT NULL AND s.mark IS DISTINCT FROM h.ma
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.items_to_index(*(load(spark, sf_dir, t) for t in ("scan_log", "files", "sources", "index_runs")))
+
+
+_FILES = r"SELECT regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS path, max(struct_pack(at := indexed_at, mark := lower(substring(content_hash, 1, 16)))) AS last FROM files WHERE path IS NOT NULL"
+
+
+def _file_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Marks of files as the index had them up to mid-March, and as it has them now."""
+    f = load(spark, sf_dir, "files").where("path is not null").select(incremental.file_key(F.col("path")).alias("path"), F.struct("indexed_at", incremental.file_mark(F.col("content_hash")).alias("mark")).alias("last"))
+    newest = lambda rows: rows.groupBy("path").agg(F.max("last").alias("last")).select("path", "last.mark")
+    return newest(f.where("last.indexed_at < timestamp_ntz'2026-03-15'")), newest(f)
+
+
+@query(
+    f"""WITH a AS ({_FILES} GROUP BY 1), b AS ({_FILES} AND indexed_at < TIMESTAMP '2026-03-15' GROUP BY 1)
+SELECT path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'removed' WHEN a.last.mark IS NOT DISTINCT FROM b.last.mark THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path)""".replace("b.path IS NULL", "b.last IS NULL").replace("a.path IS NULL", "a.last IS NULL")
+)
+def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, now = _file_states(spark, sf_dir)
+    return lifecycle.diff(now, stored, ["path"], "mark")
+
+
+@query(
+    f"""WITH a AS ({_FILES} GROUP BY 1), b AS ({_FILES} AND indexed_at < TIMESTAMP '2026-03-15' GROUP BY 1)
+SELECT count(*) FILTER (b.last IS NULL) AS new, count(*) FILTER (a.last IS NOT NULL AND b.last IS NOT NULL AND a.last.mark IS DISTINCT FROM b.last.mark) AS changed,
+ count(*) FILTER (a.last IS NULL) AS removed, count(*) FILTER (a.last.mark IS NOT DISTINCT FROM b.last.mark AND a.last IS NOT NULL AND b.last IS NOT NULL) AS same FROM a FULL JOIN b USING (path)"""
+)
+def index_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, now = _file_states(spark, sf_dir)
+    return lifecycle.freshness(now, stored, ["path"], "mark")
+
+
+@query("SELECT chunk_id, file_path FROM chunks WHERE file_path IN (SELECT path FROM files)")
+def collect_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = load(spark, sf_dir, "files").select(F.col("path").alias("file_path"))
+    return lifecycle.collect_garbage(load(spark, sf_dir, "chunks").select("chunk_id", "file_path"), files, ["file_path"])
+
+
+@query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY updated_at DESC NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 200000")
+def budget_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars", "updated_at")
+    return lifecycle.soft_budget(docs, "n_chars", [F.desc_nulls_last("updated_at"), F.col("doc_id")], 200_000).select("doc_id", "n_chars")
+
+
+@query()
+def budget_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars", "updated_at")
+    return lifecycle.hard_budget(docs, "n_chars", [F.desc_nulls_last("updated_at"), F.col("doc_id")], 20_000).select("doc_id", "n_chars")
+
+
+@query("SELECT DISTINCT chunk_id, content_hash FROM chunks WHERE content_hash IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE length(trim(coalesce(heading, ''))) = 0)")
+def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows of a versioned table after a commit that dropped the chunks without a heading."""
+    chunks = load(spark, sf_dir, "chunks")
+    rows = chunks.where("content_hash is not null").select("chunk_id", "content_hash").distinct()
+    table = VersionedTable(spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", "chunk_id bigint, content_hash string")
+    table.commit(rows)
+    lifecycle.replace_chunks(table, chunks.where("length(trim(coalesce(heading, ''))) = 0"), rows.limit(0), ["chunk_id"])
+    return table.snapshot()
