@@ -17,6 +17,7 @@ from ranksight.operators import filters, fusion, lifecycle
 from ranksight.operators.bm25 import InvertedIndex
 from ranksight.operators.search import Embedder, SearchCorpus, embed, search
 from ranksight.operators.versions import VersionedTable
+from ranksight.runtime import materialize
 from ranksight.settings import KB, KINDS, MODES, PLANES, PROJECT, SESSIONS, SearchProfile
 from ranksight.sources import sessions as logs
 from ranksight.sources import trees
@@ -51,9 +52,10 @@ class TextIndex:
         """
         current = self._scan(root)
         stored = self.files.snapshot()
-        state = lifecycle.diff(current.select("path", F.concat_ws(":", "kind", "mark").alias("mark")), stored.select("path", "mark"), ["path"], "mark")
-        fresh = current.join(state.where("state in ('new', 'changed')"), "path", "left_semi")
-        chunks = self._chunk(fresh).persist()
+        # files may change while the run goes on: what differs, and the texts to index, are each read once
+        state = materialize(lifecycle.diff(current.select("path", F.concat_ws(":", "kind", "mark").alias("mark")), stored.select("path", "mark"), ["path"], "mark"), "file_states")
+        fresh = materialize(current.join(state.where("state in ('new', 'changed')"), "path", "left_semi"), "fresh_files")
+        chunks = materialize(self._chunk(fresh), "fresh_chunks")
         counted = fresh.select("path", "kind", "mark", "modified_ns").join(chunks.groupBy("path").agg(F.count("*").alias("chunks")), "path", "left").fillna(0, ["chunks"])
         remaining = 0
         if budget is not None:

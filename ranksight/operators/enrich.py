@@ -41,7 +41,7 @@ def sanitize(answers: DataFrame, names: DataFrame, categories: tuple[str, ...],
     refs = a.select("name", F.explode("a.related").alias("ref")).join(names.select(F.col("name").alias("ref")).distinct(), "ref", "left_semi").where("ref != name")
     related = refs.groupBy("name").agg(F.array_sort(F.collect_set("ref")).alias("related"))
     none = F.array().cast("array<string>")
-    entities = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("a.entities", none), F.trim), lambda e: F.length(e) > 0)))
+    entities = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("a.entities", none), lambda e: F.trim(e)), lambda e: F.length(e) > 0)))
     pick = lambda c, known: F.when(F.col(c).isin(*known), F.col(c))
     return a.join(related, "name", "left").select("name", pick("a.category", categories).alias("category"), pick("a.status", statuses).alias("status"), F.coalesce("related", none).alias("related"), entities.alias("entities"))
 
