@@ -16,18 +16,20 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttu
 
 #: A term of the index: letters and digits of any alphabet.
 TERM = r"[\p{L}\p{N}]+"
+NO_TERM = r"[^\p{L}\p{N}]+"
 #: A word of a query: also ``_``, two characters at least.
 QUERY_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def fold(c: Column) -> Column:
     """Lower case, without the marks on Latin letters."""
-    return F.translate(F.lower(c), _MARKED, _PLAIN)
+    low = F.lower(c)
+    return F.when(low.rlike("[à-ž]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
 
 
 def terms(c: Column) -> Column:
     """Index terms in order; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(fold(c), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(fold(c), NO_TERM), ""), F.array().cast("array<string>"))
 
 
 def query_words(c: Column) -> Column:

@@ -14,14 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksight.functions.text import query_words, terms
+from ranksight.runtime import broadcast_if_small, materialize, spread
 from ranksight.settings import BM25_B, BM25_K1, IDF_FLOOR
 
 
+#: Up to this many query terms are looked up by a filter, which reaches the scan of a stored index; more are joined.
+FILTERED_TERMS = 2_000
+
+
 @dataclass
 class InvertedIndex:
-    postings: DataFrame
+    """``words`` (id, at, term) of an index that isn't stored: its postings are made for the terms of a query only."""
+
     lengths: DataFrame
     stats: DataFrame
+    postings: DataFrame | None = None
+    words: DataFrame | None = None
 
     @classmethod
     def build(cls, records: DataFrame, id_col: str, text: Column, others: tuple[str, ...] = ()) -> InvertedIndex:
@@ -29,24 +37,35 @@ class InvertedIndex:
 
         Records are taken as delivered: repeated ids must be dropped before.
         """
-        rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), terms(text).alias("words"), *[terms(F.col(c)).alias(f"_{c}") for c in others])
-        words = rows.select("id", F.posexplode("words").alias("at", "term"))
-        postings = words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-        total = F.size("words")
+        rows = spread(records.where(F.col(id_col).isNotNull()).select(id_col, text.alias("_text"), *others))
+        total = F.size(terms(F.col("_text")))
         for c in others:
-            total = total + F.size(f"_{c}")
-        lengths = rows.select("id", total.alias("dl"))
-        return cls(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+            total = total + F.size(terms(F.col(c)))
+        lengths = materialize(rows.select(F.col(id_col).alias("id"), total.alias("dl")), "lengths")
+        words = rows.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col("_text"))).alias("at", "term"))
+        return cls(lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), words=words)
+
+    def lookup(self, wanted: DataFrame | list[str] | None = None, positions: bool = True) -> DataFrame:
+        """Postings (term, id, tf, positions) of the distinct ``wanted`` terms (a list or a column ``term``), or of all."""
+        source = self.postings if self.postings is not None else self.words
+        if isinstance(wanted, list):
+            source = source.where(F.col("term").isin(wanted)) if wanted else source.where(F.lit(False))
+        elif wanted is not None:
+            source = source.join(broadcast_if_small(wanted), "term", "left_semi")
+        if self.postings is not None:
+            return source if positions else source.select("term", "id", "tf")
+        places = [F.array_sort(F.collect_list("at")).alias("positions")] if positions else []
+        return source.groupBy("term", "id").agg(F.count("*").alias("tf"), *places)
 
     def save(self, path: str, parts: int = 64) -> None:
         """Postings clustered by term, so that a query reads the row groups of its terms only."""
-        self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lookup().repartitionByRange(parts, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> InvertedIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("lengths", "stats", "postings")))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query", words: Column | None = None) -> DataFrame:
@@ -58,11 +77,19 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
 def match_counts(index: InvertedIndex, wanted: DataFrame) -> DataFrame:
     """(term, id, tf) of the distinct terms of ``wanted`` (term, parts)."""
     asked = wanted.select("term", "parts").distinct()
-    single = asked.where(F.size("parts") == 1).select(F.col("parts")[0].alias("index_term"), F.col("term").alias("query_term"))
-    hits = index.postings.join(single, F.col("term") == F.col("index_term")).select(F.col("query_term").alias("term"), "id", "tf")
-    phrase = asked.where(F.size("parts") > 1)
-    placed = phrase.select("term", F.size("parts").alias("n"), F.posexplode("parts").alias("offset", "index_term"))
-    found = index.postings.select(F.col("term").alias("index_term"), "id", "positions").join(placed, "index_term")
+    few = asked.limit(FILTERED_TERMS + 1).collect()
+    known = len(few) <= FILTERED_TERMS  # then the terms go into the scan's filter, and what no query needs is not computed
+    one = asked.where(F.size("parts") == 1).select("term", F.col("parts")[0].alias("index_term"))
+    terms_of = lambda rows: sorted({p for r in rows for p in r["parts"]})
+    single = index.lookup(terms_of(r for r in few if len(r["parts"]) == 1) if known else one.select(F.col("index_term").alias("term")).distinct(), positions=False)
+    if known and all(r["parts"] == [r["term"]] for r in few):
+        return single
+    hits = single.withColumnRenamed("term", "index_term").join(broadcast_if_small(one), "index_term").select("term", "id", "tf")
+    if known and all(len(r["parts"]) == 1 for r in few):
+        return hits
+    placed = asked.where(F.size("parts") > 1).select("term", F.size("parts").alias("n"), F.posexplode("parts").alias("offset", "index_term"))
+    lists = index.lookup(terms_of(r for r in few if len(r["parts"]) > 1) if known else placed.select(F.col("index_term").alias("term")).distinct())
+    found = lists.withColumnRenamed("term", "index_term").join(broadcast_if_small(placed), "index_term")
     starts = found.select("term", "n", "id", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
     whole = starts.groupBy("term", "n", "id", "start").agg(F.count("*").alias("k")).where("k = n").groupBy("term", "id").agg(F.count("*").alias("tf"))
     return hits.unionByName(whole)
@@ -74,14 +101,14 @@ def bm25(index: InvertedIndex, wanted: DataFrame, k: int | None, allowed: DataFr
     ``wanted`` comes from ``query_terms``. ``allowed`` (id) restricts the hits before the cut, but not the statistics.
     Scores are rounded to 10 digits, so that equal records tie whatever the order of the sum; ties go to the smaller id. ``inverse`` gives 1 / (1 + score), which turns the order around, for comparison only.
     """
-    tf = match_counts(index, wanted)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = materialize(match_counts(index, wanted), "term_counts")
+    df = broadcast_if_small(tf.groupBy("term").agg(F.count("*").alias("df")))
     hits = tf.join(allowed.select("id").distinct(), "id", "left_semi") if allowed is not None else tf
     rows = hits.join(df, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))  # one row
     raw = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    occurrences = wanted.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    occurrences = broadcast_if_small(wanted.groupBy("query_id", "term").agg(F.count("*").alias("times")))
     scored = rows.select("id", "term", part.alias("part")).join(occurrences, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), 10).alias("score"))
     if inverse:
         scored = scored.withColumn("score", 1 / (1 + F.abs("score")))

@@ -11,7 +11,7 @@ from ranksight.functions.markdown import chunk_files
 from ranksight.functions.stem import stem_column
 from ranksight.operators import filters, graph, quality, tasks
 from ranksight.plans.catalogue import query
-from ranksight.runtime import load
+from ranksight.runtime import load, spread
 from ranksight.sources import sessions
 
 _CLEAN = r"trim(regexp_replace({0}, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'))"
@@ -42,7 +42,7 @@ p AS (SELECT doc_id, i, trim(substring(t, i + 1, 1500)) AS text FROM w)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, text FROM p WHERE length(text) >= 20"""
 )
 def sliding_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.window_chunks(load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], ["doc_id"])
+    return sessions.window_chunks(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], ["doc_id"])
 
 
 @query("SELECT doc_id, substring(sha256(text), 1, 16) AS hash FROM documents")
@@ -248,7 +248,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    return chunk_files(docs)
+    return chunk_files(spread(docs))
 
 
 @query()
@@ -259,4 +259,4 @@ def comment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stemmed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", stem_column(F.col("text")).alias("stemmed"))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", stem_column(F.col("text")).alias("stemmed"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -60,3 +61,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions as configured, at least one per core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (they are counted); beyond, joins choose for themselves.
+
+    For sides that a caller hands in, such as a batch of queries, whose size the planner can't know.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its source has splits for less than half of them, as one small file has; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
