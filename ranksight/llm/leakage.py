@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksight.llm.shingles import word_hashes
-from ranksight.runtime import materialize
+from ranksight.runtime import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,7 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray, cfg: LeakConfig, i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    rows = spread(rows)
 
     def block(ids: list[np.ndarray], words: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         doc, w, n = np.concatenate(ids), np.concatenate(words), np.concatenate(sizes)

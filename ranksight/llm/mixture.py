@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranksight.llm.terms import outer_trim
-from ranksight.runtime import materialize, parallelism
+from ranksight.runtime import materialize, parallelism, spread
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def token_sizes(docs: DataFrame, tok: Tokenizer = Tokenizer(), id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=["doc_id", "source", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(size, "doc_id long, source string, tokens long")
+    return spread(rows).mapInArrow(size, "doc_id long, source string, tokens long")
 
 
 def plan_shares(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[float, dict[str, float]]:

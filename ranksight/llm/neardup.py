@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ranksight.llm.shingles import mix, run_hashes, word_hashes
 from ranksight.operators.components import connected_components
-from ranksight.runtime import materialize, parallelism
+from ranksight.runtime import materialize, parallelism, spread
 
 BITS = 256
 SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
@@ -147,7 +147,7 @@ def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str,
                 names=["id", "grp", "cls", "size", *SIGNATURE, "runs"],
             )
 
-    return texts.select(*columns).mapInArrow(build, f"id long, grp string, cls long, size int, {' long, '.join(SIGNATURE)} long, runs binary")
+    return spread(texts.select(*columns)).mapInArrow(build, f"id long, grp string, cls long, size int, {' long, '.join(SIGNATURE)} long, runs binary")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksight.llm.shingles import run_hashes, word_hashes
+from ranksight.runtime import spread
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def clean_documents(docs: DataFrame, rules: CleaningRules = CleaningRules(), id_
     Null and empty texts, and texts without words, have share 0 and are kept; a null text stays null. Repeated rows come
     out as often as they go in; an empty table gives no rows. Whole texts are judged, however long.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{r}_lines long" for r in RULES)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranksight.runtime import materialize, parallelism
+from ranksight.runtime import materialize, parallelism, spread
 
 
 @dataclass(frozen=True)
@@ -246,6 +246,7 @@ def nearest_vectors(vectors: DataFrame, cfg: NeighborConfig = NeighborConfig(),
     """
     spark = vectors.sparkSession
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    source = spread(source)
     dim = cfg.dim
 
     total = source.count()
