@@ -188,7 +188,7 @@ class SessionIndex:
         counted = stale.join(chunks.groupBy("src_path").agg(F.count("*").alias("chunk_count")), "src_path", "left").fillna(0, ["chunk_count"])
         remaining = 0
         if budget is not None:
-            newest = F.desc(F.split("fingerprint", r"\|")[0].cast("long"))
+            newest = F.desc_nulls_last(F.split("fingerprint", r"\|")[0].try_cast("long"))
             taken = lifecycle.soft_budget(counted, "chunk_count", [newest, F.col("src_path")], budget)
             remaining = counted.join(taken.select("src_path"), "src_path", "left_anti").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
             counted, chunks = taken, chunks.join(taken.select("src_path"), "src_path", "left_semi")

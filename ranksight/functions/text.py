@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ranksight.settings import SYNTHETIC_PREFIXES, SessionLimits
+from ranksight.settings import NOISE_ENTITIES, SYNTHETIC_PREFIXES, SessionLimits
 
 #: Letters whose marks the index drops, and what stays of them. Cyrillic letters and ``ß`` keep theirs.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
@@ -101,31 +101,27 @@ def owner_of(path: Column) -> Column:
 
 
 def display_name(path: Column, skill: Column) -> Column:
-    """How a hit names its file: the skill for SKILL.md, the folder for a stream's README, else owner/stem."""
+    """How a hit names its file: the skill for SKILL.md and for the README of the folder of that name, else the path without ``.md``."""
     base = F.element_at(F.split(path, "/"), -1)
-    stem = F.regexp_replace(base, r"\.md$", "")
-    owner = owner_of(path)
-    return (
-        F.when(base == "SKILL.md", F.coalesce(skill, owner))
-        .when((base == "README.md") & path.startswith("streams/"), owner)
-        .when(owner == "(root)", stem)
-        .otherwise(F.concat_ws("/", owner, stem))
-    )
+    folder = F.regexp_replace(path, "/?[^/]*$", "")
+    own = (base == "SKILL.md") | (base == "README.md") & F.coalesce(folder == skill, F.lit(False))
+    return F.when(own, F.coalesce(skill, owner_of(path))).otherwise(F.regexp_replace(path, r"\.md$", ""))
 
 
 def entity_skill_name(c: Column) -> Column:
     """The name of the skill that covers an entity."""
-    return F.concat(F.lit("entity-"), F.regexp_replace(F.lower(c), r"[\s_]+", "-"))
+    return F.concat(F.lit("entity-"), F.translate(F.lower(c), " ", "-"))
 
 
 def is_entity_skill(c: Column) -> Column:
     return c.startswith("entity-")
 
 
-def is_noise_entity(c: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Shorter than three characters, a stop word in any letter case, or up to six upper-case Cyrillic letters. Null is noise."""
+def is_noise_entity(c: Column, stop: tuple[str, ...] = NOISE_ENTITIES) -> Column:
+    """Shorter than three characters, a stop word in any letter case, or an upper-case name with Cyrillic letters of at most six characters. Null is noise."""
+    c = F.trim(c)
     listed = F.lower(c).isin([s.lower() for s in stop]) if stop else F.lit(False)
-    return F.coalesce((F.length(F.trim(c)) < 3) | listed | c.rlike("^[А-ЯЁ]{1,6}$"), F.lit(True))
+    return F.coalesce((F.length(c) < 3) | listed | (F.upper(c) == c) & c.rlike("[Ѐ-ӿ]") & (F.length(c) <= 6), F.lit(True))
 
 
 def glob_regex(pattern: str) -> str:
@@ -177,7 +173,7 @@ def first_cells(c: Column) -> Column:
 def last_review(c: Column) -> Column:
     """The latest date of a heading ``## [YYYY-MM-DD]``."""
     found = F.regexp_extract_all(c, F.lit(r"(?m)^##\s*\[(\d{4}-\d{2}-\d{2})\]"), F.lit(1))
-    return F.try_to_date(F.array_max(found), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.array_max(found))
+    return date_of(F.array_max(found))
 
 
 def section_empty(c: Column, title: str) -> Column:
@@ -191,7 +187,11 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\{[\s\S]*\}", 0), F.lit(""))
 
 
+def date_of(c: Column) -> Column:
+    """The date of a ``YYYY-MM-DD`` string; null if it isn't one."""
+    return F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def age_days(date: Column, as_of: Column) -> Column:
     """Days from a ``YYYY-MM-DD`` string to ``as_of``; null if it isn't a date."""
-    strict = F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), date)
-    return F.datediff(as_of, F.try_to_timestamp(strict, F.lit("yyyy-MM-dd")).cast("date"))
+    return F.datediff(as_of, date_of(date))

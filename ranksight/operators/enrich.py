@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ranksight.functions.markdown import update_frontmatter_column
 from ranksight.functions.text import json_object
+from ranksight.settings import CATEGORIES, STATUSES
 
 ANSWER = "category string, related array<string>, status string, entities array<string>"
 PROMPT_CHARS = 6_000
@@ -31,7 +32,7 @@ def extract(skills: DataFrame, ask: Callable[[str, str], str], text: str = "body
     return skills.select("name", F.col(text).alias("text")).mapInPandas(run, "name string, answer string")
 
 
-def sanitize(answers: DataFrame, names: DataFrame, categories: tuple[str, ...], statuses: tuple[str, ...] = ("active", "archived", "draft")) -> DataFrame:
+def sanitize(answers: DataFrame, names: DataFrame, categories: tuple[str, ...] = CATEGORIES, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
     """(name, category, status, related, entities) of answers that hold a JSON object.
 
     Values outside the enumerations become null, references to unknown skills or to the skill itself go, lists are distinct and

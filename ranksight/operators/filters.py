@@ -10,7 +10,7 @@ from ranksight.functions.text import glob, owner_of
 from ranksight.settings import KINDS
 
 # Globs of task notes and streams.
-TASK_GLOBS = ("tasks/[0-9]*.md", "tasks/archive/*.md", "tasks/index.md")
+TASK_GLOBS = ("tasks/[0-9]*.md", "tasks/archive/*", "tasks/reviews.md")
 STREAM_GLOB = "streams/*"
 
 

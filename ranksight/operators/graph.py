@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranksight.functions.text import entity_skill_name, is_noise_entity
-from ranksight.settings import ENTITY_SKILLS
+from ranksight.settings import ENTITY_SKILLS, NOISE_ENTITIES
 
 
 @dataclass
@@ -74,7 +74,7 @@ def type_counts(graph: EntityGraph) -> DataFrame:
     return graph.entities.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def uncovered_entities(mentions: DataFrame, skill_names: DataFrame, least: int = ENTITY_SKILLS, stop: tuple[str, ...] = (), covered: dict[str, str] | None = None, examples: int = 5) -> DataFrame:
+def uncovered_entities(mentions: DataFrame, skill_names: DataFrame, least: int = ENTITY_SKILLS, stop: tuple[str, ...] = NOISE_ENTITIES, covered: dict[str, str] | None = None, examples: int = 5) -> DataFrame:
     """(entity_name, n, skills): entities in at least ``least`` skills, without noise and without a skill of their own.
 
     ``covered`` names the skill that stands for an entity; ``skills`` lists the first ``examples`` by name. Repeated mentions count once.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ranksight.functions.markdown import update_frontmatter_column
 from ranksight.functions.text import age_days, named_numbers
 from ranksight.operators.graph import uncovered_entities
-from ranksight.settings import LEAST_DESCRIPTION, MOST_LINES, STALE_DAYS, STREAM_STALE_DAYS
+from ranksight.settings import LEAST_DESCRIPTION, MOST_LINES, NOISE_ENTITIES, STALE_DAYS, STREAM_STALE_DAYS
 
 
 def finding(rows: DataFrame, rule: str, subject: Column, detail: Column) -> DataFrame:
@@ -67,7 +67,7 @@ def streams_without_readme(files: DataFrame, path: str = "path") -> DataFrame:
     return finding(s.groupBy("stream").agg(F.max("readme").alias("readme")).where("readme = 0"), "stream_no_readme", F.col("stream"), F.lit(None))
 
 
-def lint(skills: DataFrame, files: DataFrame, indexed: DataFrame, as_of: Column, stop: tuple[str, ...] = (), covered: dict[str, str] | None = None) -> DataFrame:
+def lint(skills: DataFrame, files: DataFrame, indexed: DataFrame, as_of: Column, stop: tuple[str, ...] = NOISE_ENTITIES, covered: dict[str, str] | None = None) -> DataFrame:
     """All rules over skills (see ``sources.trees.skills``), files (path, content) and index entries (path).
 
     One rule of the original suite, uncommitted changes, needs a version control system and is left out.

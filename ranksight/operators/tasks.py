@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranksight.functions.text import age_days
+from ranksight.functions.text import age_days, date_of
 
 
 def matches(sphere: str | None = None, status: str | None = None, priority: str | None = None, id: str | None = None, tag: str | None = None) -> Column:
@@ -73,9 +73,8 @@ def first_hits(hits: DataFrame, tasks: DataFrame) -> DataFrame:
 def calendar(tasks: DataFrame, stamp: str) -> DataFrame:
     """(id, event): an all-day event with a reminder the day before, for every task with a deadline. Lines end in CRLF."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"([\;,])", r"\\$1"), "\n", r"\\n")
-    day = F.to_date(F.when(F.col("deadline").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("deadline")))
     lines = [
         F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:task-"), "id"), F.lit(f"DTSTAMP:{stamp}"), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("_day", "yyyyMMdd")), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add("_day", 1), "yyyyMMdd")),
         F.concat(F.lit("SUMMARY:"), esc("title")), F.lit("BEGIN:VALARM"), F.lit("ACTION:DISPLAY"), F.lit("TRIGGER:-P1D"), F.concat(F.lit("DESCRIPTION:"), esc("title")), F.lit("END:VALARM"), F.lit("END:VEVENT"),
     ]
-    return tasks.withColumn("_day", day).where("_day is not null").select("id", F.concat_ws("\r\n", *lines).alias("event"))
+    return tasks.withColumn("_day", date_of(F.col("deadline"))).where("_day is not null").select("id", F.concat_ws("\r\n", *lines).alias("event"))

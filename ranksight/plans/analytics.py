@@ -72,10 +72,10 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""SELECT p.plane, count(*) AS n FROM chunks, (SELECT unnest(['knowledge', 'skills', 'streams', 'tasks', 'all']) AS plane) p
 WHERE CASE p.plane WHEN 'all' THEN true
-  WHEN 'tasks' THEN file_path GLOB 'tasks/[0-9]*.md' OR file_path GLOB 'tasks/archive/*.md' OR file_path = 'tasks/index.md'
+  WHEN 'tasks' THEN file_path GLOB 'tasks/[0-9]*.md' OR file_path GLOB 'tasks/archive/*' OR file_path = 'tasks/reviews.md'
   WHEN 'streams' THEN file_path GLOB 'streams/*'
-  WHEN 'skills' THEN NOT (file_path GLOB 'streams/*' OR file_path GLOB 'tasks/[0-9]*.md' OR file_path GLOB 'tasks/archive/*.md' OR file_path = 'tasks/index.md')
-  ELSE NOT (file_path GLOB 'tasks/[0-9]*.md' OR file_path GLOB 'tasks/archive/*.md' OR file_path = 'tasks/index.md') END GROUP BY p.plane"""
+  WHEN 'skills' THEN NOT (file_path GLOB 'streams/*' OR file_path GLOB 'tasks/[0-9]*.md' OR file_path GLOB 'tasks/archive/*' OR file_path = 'tasks/reviews.md')
+  ELSE NOT (file_path GLOB 'tasks/[0-9]*.md' OR file_path GLOB 'tasks/archive/*' OR file_path = 'tasks/reviews.md') END GROUP BY p.plane"""
 )
 def plane_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes = ("knowledge", "skills", "streams", "tasks", "all")
@@ -164,8 +164,8 @@ def graph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
 WITH m AS (SELECT DISTINCT lower(trim(skill_name)) AS skill_name, trim(entity_name) AS entity_name FROM skill_entities WHERE skill_name IS NOT NULL AND trim(entity_name) <> ''),
 c AS (SELECT entity_name, count(*) AS n FROM m GROUP BY entity_name HAVING count(*) >= 3)
-SELECT entity_name, n FROM c WHERE length(entity_name) >= 3 AND NOT regexp_matches(entity_name, '^[А-ЯЁ]{1,6}$')
- AND 'entity-' || regexp_replace(lower(entity_name), '[\s_]+', '-', 'g') NOT IN (SELECT skill_name FROM m)"""
+SELECT entity_name, n FROM c WHERE length(entity_name) >= 3 AND NOT (entity_name = upper(entity_name) AND regexp_matches(entity_name, '[Ѐ-ӿ]') AND length(entity_name) <= 6) AND lower(entity_name) NOT IN ('report', 'python', 'docker', 'kubernetes', 'k8s')
+ AND 'entity-' || replace(lower(entity_name), ' ', '-') NOT IN (SELECT skill_name FROM m)"""
 )
 def uncovered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = load(spark, sf_dir, "skill_entities").select(F.lower(F.trim("skill_name")).alias("skill_name"), F.trim("entity_name").alias("entity_name")).where("entity_name != ''")

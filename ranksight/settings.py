@@ -8,16 +8,20 @@ from dataclasses import dataclass
 SYNTHETIC_PREFIXES = ("<system", "<skill-loaded", "<cron-fire")
 
 # Folders and files that hold no knowledge.
-SKIPPED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode")
+SKIPPED_FOLDERS = (".git", ".venv", "__pycache__", "node_modules", ".pytest_cache", ".search", ".graph")
+SKIPPED_IN_PROJECTS = (*SKIPPED_FOLDERS, "out", "bin", "build", "build_logs", ".index")
 
 # Comment style by file ending.
 COMMENT_STYLES = {
-    "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "cs": "c", "java": "c", "js": "c", "ts": "c", "go": "c", "rs": "c", "kt": "c", "swift": "c", "scala": "c",
-    "py": "py", "sql": "sql", "sh": "hash", "bash": "hash", "rb": "hash", "cmake": "hash", "toml": "hash", "yml": "yml", "yaml": "yml", "ps1": "ps1",
+    "c": "c", "cc": "c", "cpp": "c", "cxx": "c", "h": "c", "hpp": "c", "py": "py", "sql": "sql", "yml": "yml", "yaml": "yml",
+    "ini": "hash", "cfg": "hash", "cmake": "hash", "sh": "hash", "ps1": "ps1",
 }
 
 # Domains of enumerated fields.
-SCOPES = ("project", "shared", "personal")
+SCOPES = ("personal", "work", "shared")
+CATEGORIES = ("project", "infrastructure", "methodology", "entity", "tool", "reference")
+STATUSES = ("active", "archived", "draft")
+NOISE_ENTITIES = ("report", "python", "docker", "kubernetes", "k8s")
 MODES = ("hybrid", "keyword", "semantic")
 PLANES = ("knowledge", "skills", "streams", "tasks", "all")
 KINDS = ("skill", "docs", "code")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ranksight.functions.markdown import frontmatter_column
 from ranksight.functions.text import content_hash, glob, glob_regex, owner_of
-from ranksight.settings import COMMENT_STYLES, SKIPPED_FOLDERS
+from ranksight.settings import COMMENT_STYLES, SKIPPED_FOLDERS, SKIPPED_IN_PROJECTS
 
 # Files that a knowledge base leaves out.
 SKIPPED_NAMES = (".env", "package-lock.json", "yarn.lock")
@@ -87,7 +87,7 @@ def kind_of(path: Column) -> Column:
 def project_files(files: DataFrame, rules: IgnoreRules = IgnoreRules()) -> DataFrame:
     """Files of a project with their ``kind``, without skipped and ignored ones."""
     path = F.col("path")
-    hidden = tuple(n for n in SKIPPED_FOLDERS if n != ".agents")
+    hidden = SKIPPED_IN_PROJECTS
     return files.where(~in_folders(path, hidden) & ~rules.excluded(path) & ~F.element_at(F.split(path, "/"), -1).isin(*SKIPPED_NAMES)).withColumn("kind", kind_of(path)).where("kind is not null")
 
 

@@ -132,7 +132,7 @@ def test_times_and_names(spark):
     paths = ["tools/SKILL.md", "streams/x/README.md", "streams/x.md", "README.md", "a/b/c.md"]
     owners = spark.createDataFrame([(p,) for p in paths], "p string").select(T.owner_of(F.col("p")), T.display_name(F.col("p"), F.lit("me"))).collect()
     assert [r[0] for r in owners] == ["skills-tools", "streams/x", "streams", "(root)", "a"]
-    assert [r[1] for r in owners] == ["me", "streams/x", "streams/x", "README", "a/c"]
+    assert [r[1] for r in owners] == ["me", "streams/x/README", "streams/x", "README", "a/b/c"]
     noise = spark.createDataFrame([("AI",), ("docker",), ("ДКУР",), ("ClickHouse",), (None,)], "e string").select(T.is_noise_entity(F.col("e"), ("docker",))).collect()
     assert [r[0] for r in noise] == [True, True, True, False, True]
     g = spark.createDataFrame([("tasks/1/x.md",), ("Skills/a",), ("tasks/x.md",)], "p string").select(T.glob(F.col("p"), "tasks/[0-9]*.md"), T.glob(F.col("p"), "skills/*")).collect()
