@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranksight.llm.terms import outer_trim
-from ranksight.runtime import materialize, parallelism, spread
+from ranksight.runtime import broadcast_if_small, materialize, parallelism, spread
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,14 @@ class MixtureConfig:
     """``total``: tokens of the mixture; None takes the most for which every source with documents keeps its share.
 
     ``slopes``: change of a source's weight from the first to the last training token; they must add up to 0.
-    ``slices``: parts into which a source's random order is cut for its prefix sums.
+    ``slices``: least parts into which a source's random order is cut for its prefix sums; large sources get more, of
+    about ``slice_rows`` documents.
     """
 
     total: int | None = None
     slopes: dict[str, float] = field(default_factory=dict)
     slices: int = 256
+    slice_rows: int = 100_000
     seed: int = 17
 
 
@@ -106,17 +108,17 @@ def plan_shares(available: dict[str, int], targets: dict[str, tuple[float, int]]
     return sum(use.values()), use
 
 
-def _offsets(sized: DataFrame, cfg: MixtureConfig) -> DataFrame:
+def _offsets(sized: DataFrame, seed: int, slices: int) -> DataFrame:
     """``sized`` with ``start``: tokens of the source's documents before this one in the random order."""
-    order = F.xxhash64("doc_id", F.lit(cfg.seed))
-    rows = sized.withColumn("draw", order).withColumn("slice", F.shiftrightunsigned("draw", 40) % cfg.slices)
+    order = F.xxhash64("doc_id", F.lit(seed))
+    rows = sized.withColumn("draw", order).withColumn("slice", F.shiftrightunsigned("draw", 40) % slices)
     # `slice` need not follow `draw`: the order is (slice, draw, doc_id), random all the same
     sums = rows.groupBy("source", "slice").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "slice").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    return at.join(F.broadcast(base), ["source", "slice"]).withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner", "slice", "draw")  # slices * sources rows
+    return at.join(broadcast_if_small(base), ["source", "slice"]).withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner", "slice", "draw")
 
 
 def training_order(docs: DataFrame, targets: DataFrame, cfg: MixtureConfig = MixtureConfig(), tok: Tokenizer = Tokenizer()) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +148,8 @@ def training_order(docs: DataFrame, targets: DataFrame, cfg: MixtureConfig = Mix
         tokens = have.get(s, (0, 0))[0]
         plan.append((s, float(goal[s][0]), int(goal[s][1]), int(tokens), float(n), float(share), float(slope)))
     table = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available_tokens long, demand double, share double, slope double")
-    placed = _offsets(used, cfg).join(F.broadcast(table), "source")  # one row per target source
+    slices = max([cfg.slices, *(d // cfg.slice_rows for _, d in have.values())])
+    placed = _offsets(used, cfg.seed, slices).join(F.broadcast(table), "source")  # one row per target source
     # full epochs, then the documents of the last one up to the demand, to the nearest half document
     full = F.floor(F.col("demand") / F.col("available_tokens") + 1e-12)
     rest = F.col("demand") - full * F.col("available_tokens")

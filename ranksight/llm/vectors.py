@@ -188,33 +188,37 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         place = np.argsort(np.argsort(-key, axis=1, kind="stable"), axis=1)
         need = np.take_along_axis(place, label[true], axis=1) + 1
         visits = min(visits, int(np.quantile(need, cfg.recall, method="higher")))
-    got_q, got_n, got_s = [], [], []
-    width = k + 4
-    for a in range(0, len(q), 8192):
-        part = q[a : a + 8192]
-        key = tree.priorities(part)
-        opened = np.argpartition(-key, visits - 1, axis=1)[:, :visits] if visits < key.shape[1] else np.tile(np.arange(key.shape[1]), (len(part), 1))
-        flat = opened.ravel()
-        by_leaf = np.argsort(flat, kind="stable")
-        who = by_leaf // opened.shape[1]
-        cut = np.searchsorted(flat[by_leaf], np.arange(tree.n_leaves + 1))
-        for leaf in range(tree.n_leaves):
-            mine = who[cut[leaf] : cut[leaf + 1]]
-            lo, hi = bounds[leaf], bounds[leaf + 1]
-            if not len(mine) or lo == hi:
-                continue
-            s = part[mine] @ x[lo:hi].T
-            if hi - lo > width:
-                top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-                s = np.take_along_axis(s, top, axis=1)
-            else:
-                top = np.broadcast_to(np.arange(hi - lo), s.shape)
-            got_q.append(np.repeat(mine + a, s.shape[1]))
-            got_n.append((top + lo).ravel())
-            got_s.append(s.ravel())
-    if not got_q:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
+    none = np.zeros(0, np.int64)
+    found = [(none, none, np.zeros(0))]
+    for a in range(0, len(q), 8192):  # bounds what is held of the opened leaves
+        found.append(_scan_leaves(ids, x, bounds, tree, visits, qids[a : a + 8192], q[a : a + 8192], k))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _scan_leaves(ids: np.ndarray, x: np.ndarray, bounds: np.ndarray, tree: KMeansTree, visits: int, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` rows of each query in its first ``visits`` leaves; leaf i holds the rows between bounds i and i + 1."""
+    key, width = tree.priorities(q), k + 4
+    opened = np.argpartition(-key, visits - 1, axis=1)[:, :visits] if visits < key.shape[1] else np.tile(np.arange(key.shape[1]), (len(q), 1))
+    flat = opened.ravel()
+    by_leaf = np.argsort(flat, kind="stable")
+    who = by_leaf // opened.shape[1]
+    cut = np.searchsorted(flat[by_leaf], np.arange(tree.n_leaves + 1))
+    none = np.zeros(0, np.int64)
+    got_q, got_n, got_s = [none], [none], [np.zeros(0, np.float32)]
+    for leaf in range(tree.n_leaves):
+        mine = who[cut[leaf] : cut[leaf + 1]]
+        lo, hi = bounds[leaf], bounds[leaf + 1]
+        if not len(mine) or lo == hi:
+            continue
+        s = q[mine] @ x[lo:hi].T
+        if hi - lo > width:
+            top = np.argpartition(-s, width - 1, axis=1)[:, :width]
+            s = np.take_along_axis(s, top, axis=1)
+        else:
+            top = np.broadcast_to(np.arange(hi - lo), s.shape)
+        got_q.append(np.repeat(mine, s.shape[1]))
+        got_n.append((top + lo).ravel())
+        got_s.append(s.ravel())
     gq, gn, gs = np.concatenate(got_q), np.concatenate(got_n), np.concatenate(got_s)
     other = qids[gq] != ids[gn]
     gq, gn, gs = gq[other], gn[other], gs[other]
