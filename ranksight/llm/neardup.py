@@ -26,6 +26,9 @@ from ranksight.operators.components import connected_components
 from ranksight.runtime import materialize, parallelism, spread
 
 BITS = 256
+#: Runs are told apart by 48 bits of their hash: two of the runs of a pair of texts coincide by chance once in 10^10 pairs of 200 runs.
+RUN_BYTES = 6
+RUN_MASK = np.uint64((1 << 8 * RUN_BYTES) - 1)
 SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 
@@ -123,6 +126,7 @@ def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str,
             ids, grp = b.column(0), [g.strip().lower() if g is not None else None for g in b.column(2).to_pylist()]
             words, sizes = word_hashes(b.column(1).to_pylist())
             h, owner, _ = run_hashes(words, sizes, cfg.words)
+            h &= RUN_MASK
             o = np.lexsort((h, owner))
             h, owner = h[o], owner[o]
             if len(h):
@@ -142,7 +146,7 @@ def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids.fill_null(0).to_numpy(zero_copy_only=False)[rows]), pa.array([grp[i] for i in rows], pa.string()), pa.array(cls[rows].view(np.int64)), pa.array(size[rows].astype(np.int32)),
-                    *[pa.array(np.ascontiguousarray(sig[rows, i]).view(np.int64)) for i in range(len(SIGNATURE))], pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary()),
+                    *[pa.array(np.ascontiguousarray(sig[rows, i]).view(np.int64)) for i in range(len(SIGNATURE))], pa.array([_packed(h[cut[i] : cut[i + 1]]) for i in rows], pa.binary()),
                 ],
                 names=["id", "grp", "cls", "size", *SIGNATURE, "runs"],
             )
@@ -150,9 +154,19 @@ def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str,
     return spread(texts.select(*columns)).mapInArrow(build, f"id long, grp string, cls long, size int, {' long, '.join(SIGNATURE)} long, runs binary")
 
 
+def _packed(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // RUN_BYTES, 8), np.uint8)
+    wide[:, :RUN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, RUN_BYTES)
+    return wide.view(np.uint64).ravel()
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     runs = batch.column(batch.schema.get_field_index("runs"))
-    return np.frombuffer(b"".join(runs.to_pylist()), np.uint64), batch.column(batch.schema.get_field_index("size")).to_numpy().astype(np.int64)
+    return _unpacked(b"".join(runs.to_pylist())), batch.column(batch.schema.get_field_index("size")).to_numpy().astype(np.int64)
 
 
 def run_sketch(sets: DataFrame, cfg: NearDupConfig) -> np.ndarray:
@@ -240,14 +254,14 @@ def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
             rep = np.repeat(np.arange(len(h)), blocks)
             other = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks)][:-1], blocks)
             lo, hi = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
-            shard = np.where(blocks[rep] > 1, mix(h[rep] + (lo * 65_537 + hi + 1).astype(np.uint64)), h[rep])
+            shard = np.where(blocks[rep] > 1, mix(h[rep] + (lo * 65_537 + hi + 1).astype(np.uint64)) & RUN_MASK, h[rep])
             member, place, size = member[rep], place[rep].astype(np.int32), size[rep].astype(np.int32)
-            part = (shard >> np.uint64(48)).astype(np.int64) * parts >> 16
+            part = (shard >> np.uint64(8 * RUN_BYTES - 16)).astype(np.int64) * parts >> 16
             o = np.lexsort((shard, part))
             shard, member, place, size, part = shard[o], member[o], place[o], size[o], part[o]
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            cols = [pa.array([_planes(x[cut[i] : cut[i + 1]]) for i in full], pa.binary()) for x in (shard, member, size, place)]
+            cols = [pa.array([pack(x[cut[i] : cut[i + 1]]) for i in full], pa.binary()) for x, pack in ((shard, _packed), (member, _planes), (size, _planes), (place, _planes))]
             yield pa.RecordBatch.from_arrays([pa.array(full), *cols], names=["part", "shard", "member", "size", "place"])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +269,8 @@ def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
         part, held = None, []
 
         def flush() -> pa.RecordBatch:
-            shard, member, size, place = (np.concatenate([_unplanes(x[i], k) for x in held]) for i, k in enumerate((np.uint64, np.int64, np.int32, np.int32)))
+            shard = np.concatenate([_unpacked(x[0]) for x in held])
+            member, size, place = (np.concatenate([_unplanes(x[i], k) for x in held]) for i, k in ((1, np.int64), (2, np.int32), (3, np.int32)))
             o = np.argsort(shard, kind="stable")
             shard, member, size, place = shard[o], member[o], size[o].astype(np.int64), place[o].astype(np.int64)
             start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
@@ -353,8 +368,8 @@ def verified_links(candidates: DataFrame, sets: DataFrame, cfg: NearDupConfig) -
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ra, rb = b.column(2).to_pylist(), b.column(3).to_pylist()
-            x, y = np.frombuffer(b"".join(ra), np.uint64), np.frombuffer(b"".join(rb), np.uint64)
-            na, nb = np.array([len(r) // 8 for r in ra], np.int64), np.array([len(r) // 8 for r in rb], np.int64)
+            x, y = _unpacked(b"".join(ra)), _unpacked(b"".join(rb))
+            na, nb = np.array([len(r) // RUN_BYTES for r in ra], np.int64), np.array([len(r) // RUN_BYTES for r in rb], np.int64)
             pair = np.r_[np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)]
             h = np.r_[x, y]
             o = np.lexsort((h, pair))
