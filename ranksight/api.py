@@ -17,7 +17,7 @@ from ranksight.operators import filters, fusion, lifecycle
 from ranksight.operators.bm25 import InvertedIndex
 from ranksight.operators.search import Embedder, SearchCorpus, embed, search
 from ranksight.operators.versions import VersionedTable
-from ranksight.runtime import materialize
+from ranksight.runtime import materialize, ship
 from ranksight.settings import KB, KINDS, MODES, PLANES, PROJECT, SESSIONS, SearchProfile
 from ranksight.sources import sessions as logs
 from ranksight.sources import trees
@@ -32,6 +32,7 @@ class TextIndex:
     profile: SearchProfile = KB
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None) -> None:
+        ship(spark)
         self.spark, self.path, self.embedder = spark, path, embedder
         self.chunks = VersionedTable(spark, f"{path}/chunks", _CHUNKS)
         self.files = VersionedTable(spark, f"{path}/files", _FILES)
@@ -164,6 +165,7 @@ class SessionIndex:
     _ADAPTERS = {"kimi-code": logs.kimi_code, "kimi-cli": logs.kimi_cli, "claude": logs.claude}
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None) -> None:
+        ship(spark)
         self.spark, self.embedder = spark, embedder
         self.chunks = VersionedTable(spark, f"{path}/chunks", "id long, agent string, src_path string, session_id string, role string, ord int, ts double, text string, stemmed string, embedding array<float>")
         self.sources = VersionedTable(spark, f"{path}/sources", "source_key string, agent string, src_path string, fingerprint string, chunk_count long")

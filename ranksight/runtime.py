@@ -5,16 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ranksight") -> SparkSession:
     """A local session with the settings the engine is written for (UTC, AQE, Arrow)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -26,6 +28,27 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that they need no installation of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):  # imported from an archive: it has been shipped already
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="ranksight-code-"), "ranksight_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +71,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The files survive the loss of executors, unlike cached blocks.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +79,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -73,5 +98,6 @@ def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its source has splits for less than half of them, as one small file has; else unchanged."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df

@@ -162,3 +162,23 @@ def test_stream(spark, tmp_path):
     df.withColumn("i", F.col("i") + 10).write.mode("append").parquet(src)
     run()
     assert rows(t.snapshot()) == [(1,), (2,), (11,), (12,)]
+
+
+def test_executors_get_the_package(tmp_path):
+    """A program elsewhere that only knows the path of the repository."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from ranksight.runtime import build_session
+from ranksight.functions.markdown import chunk_files
+spark = build_session(2)
+df = spark.createDataFrame([("a.md", "# T")], "path string, content string")
+print("ROWS", chunk_files(df).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
