@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranksight.llm.shingles import word_hashes
+from ranksight.llm.shingles import bounded, word_hashes
 from ranksight.runtime import materialize, spread
 
 
@@ -96,8 +96,7 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray, cfg: LeakConfig, i
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, sizes, held = [], [], [], 0
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
+            for part in bounded(b, 1, 2_000_000):
                 w, n = word_hashes(part.column(1).to_pylist())
                 ids.append(part.column(0).to_numpy())
                 words.append(w)

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranksight.llm.shingles import mix, run_hashes, word_hashes
+from ranksight.llm.shingles import bounded, mix, run_hashes, word_hashes
 from ranksight.operators.components import connected_components
 from ranksight.runtime import materialize, parallelism, spread
 
 BITS = 256
 #: Runs are told apart by 48 bits of their hash: two of the runs of a pair of texts coincide by chance once in 10^10 pairs of 200 runs.
 RUN_BYTES = 6
+#: Bytes of text or runs that are worked on at a time, so that long texts don't add up in a worker.
+BATCH_BYTES = 16_000_000
 RUN_MASK = np.uint64((1 << 8 * RUN_BYTES) - 1)
 SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
@@ -122,7 +124,7 @@ def text_sets(texts: DataFrame, cfg: NearDupConfig, id_col: str, text_col: str,
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")] + ([F.col(group_col).alias("grp")] if group_col else [F.lit("").alias("grp")])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in bounded(b, 1, BATCH_BYTES)):
             ids, grp = b.column(0), [g.strip().lower() if g is not None else None for g in b.column(2).to_pylist()]
             words, sizes = word_hashes(b.column(1).to_pylist())
             h, owner, _ = run_hashes(words, sizes, cfg.words)
@@ -236,7 +238,7 @@ def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = sketch.value
-        for b in batches:
+        for b in (part for b in batches for part in bounded(b, b.schema.get_field_index("runs"), BATCH_BYTES)):
             cls = b.column(b.schema.get_field_index("cls")).to_numpy()
             first = np.sort(np.unique(cls, return_index=True)[1])  # copies within a batch count once
             b = b.take(pa.array(first))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranksight.llm.shingles import run_hashes, word_hashes
+from ranksight.llm.shingles import bounded, run_hashes, word_hashes
 from ranksight.runtime import spread
 
 
@@ -134,8 +134,7 @@ def clean_documents(docs: DataFrame, rules: CleaningRules = CleaningRules(), id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for part in bounded(b, 1, 2_000_000):
                 got = judge(part.column(1).to_pylist(), rules)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array(v, pa.string()) if k in ("clean_text", "verdict") else pa.array(v) for k, v in got.items()]], names=["doc_id", *got]

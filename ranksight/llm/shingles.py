@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+def bounded(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes in a string or binary column, at least one row each."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    total = np.r_[0, np.cumsum(size)]
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 WORD = re.compile(r"[^\W_]+")
 _CACHE_LIMIT = 1_000_000
 

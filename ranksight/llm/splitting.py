@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranksight.llm.shingles import bounded
+
 
 @dataclass(frozen=True)
 class SplitConfig:
@@ -167,8 +169,7 @@ def split_oversized(records: DataFrame, cfg: SplitConfig = SplitConfig(), id_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
+            for part in bounded(b, 2, 2_000_000):
                 texts = part.column(2).to_pylist()
                 row, start, end = split_texts(texts, cfg)
                 first = np.searchsorted(row, row)
