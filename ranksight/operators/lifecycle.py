@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksight.operators.versions import Folder, VersionedTable
+from ranksight.runtime import broadcast_if_small, materialize
 
 
 def diff(current: DataFrame, stored: DataFrame, key: list[str], mark: Column | str) -> DataFrame:
@@ -22,12 +23,24 @@ def diff(current: DataFrame, stored: DataFrame, key: list[str], mark: Column | s
     return a.join(b, key, "full").select(*key, state.alias("state"))
 
 
+def places(rows: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
+    """``rows`` with ``place`` from 1 in the order: ranks within ranges plus the sizes of the ranges before.
+
+    Range bounds are sampled anew by every job, so the parts are fixed in a table before two jobs use them.
+    """
+    ranges = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ranges.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_base"))  # `parts` rows
+    return ranges.withColumn("_in", inner).join(F.broadcast(base), "_part").withColumn("place", F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+
+
 def soft_budget(items: DataFrame, size: str, order: list[Column], budget: int, parts: int = 64) -> DataFrame:
     """Items in order while the sum of those before is under the budget; the last one may go over it.
 
-    Prefix sums are taken over range partitions of the order and their totals, so no task holds all items.
+    Prefix sums are taken over range partitions of the order (see ``places``) and their totals, so no task holds all items.
     """
-    spread = items.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    spread = materialize(items.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     totals = spread.groupBy("_part").agg(F.sum(size).alias("_n"))
     before = totals.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")  # `parts` rows
@@ -41,7 +54,7 @@ def hard_budget(items: DataFrame, size: str, order: list[Column], budget: int) -
     then reads at most as many items to the driver as can end it, through an iterator.
     """
     spark = items.sparkSession
-    keyed = items.withColumn("_row", F.monotonically_increasing_id())
+    keyed = materialize(items.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     first = keyed.orderBy(*order).select("_row", size).limit(1).collect()
     if not first:
         return items
@@ -55,7 +68,7 @@ def hard_budget(items: DataFrame, size: str, order: list[Column], budget: int) -
             if left <= 0:
                 break
     picked = spark.createDataFrame([(x,) for x in taken], "_row long")
-    return keyed.join(picked, "_row", "left_semi").drop("_row")
+    return keyed.join(broadcast_if_small(picked), "_row", "left_semi").drop("_row")
 
 
 def replace_chunks(table: VersionedTable, changed: DataFrame, chunks: DataFrame, key: list[str], properties: dict[str, str] | None = None) -> int:

@@ -9,10 +9,12 @@ from ranksight.functions import text as T
 from ranksight.functions.comments import chunk_sources
 from ranksight.functions.markdown import chunk_files
 from ranksight.functions.stem import stem_column
-from ranksight.operators import filters, graph, quality, tasks
+from ranksight.operators import filters, graph, lifecycle, quality, tasks
 from ranksight.plans.catalogue import query
 from ranksight.runtime import load, spread
+from ranksight.settings import AGENTS
 from ranksight.sources import sessions
+from ranksight.streaming import incremental
 
 _CLEAN = r"trim(regexp_replace({0}, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'))"
 
@@ -127,10 +129,7 @@ def top_owner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH k AS (SELECT unnest(['kimi-code', 'kimi-cli', 'claude', 'omp', 'none']) AS agent), n AS (SELECT agent, count(*) AS n FROM sources GROUP BY agent) SELECT agent, coalesce(n, 0) AS n FROM k FULL JOIN n USING (agent)")
 def zero_filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ranksight.operators.lifecycle import zero_filled
-    from ranksight.settings import AGENTS
-
-    return zero_filled(load(spark, sf_dir, "sources"), "agent", (*AGENTS, "none"))
+    return lifecycle.zero_filled(load(spark, sf_dir, "sources"), "agent", (*AGENTS, "none"))
 
 
 _EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem)"
@@ -199,16 +198,7 @@ def task_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("deadline"))
     keys = tasks.order("priority", ("1-URGENT", "2-HIGH", "3-MEDIUM"))
-    return places(o, keys).select("id", "place")
-
-
-def places(rows: DataFrame, keys: list, parts: int = 16) -> DataFrame:
-    """``rows`` with ``place`` from 1 in the order of ``keys``: ranks within ranges plus the sizes of the ranges before."""
-    spread = rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = spread.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_base"))  # `parts` rows
-    return spread.withColumn("_in", inner).join(F.broadcast(base), "_part").withColumn("place", F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+    return lifecycle.places(o, keys).select("id", "place")
 
 
 @query("SELECT field, value, count(*) AS n FROM (SELECT 'status' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT 'priority', o_orderpriority FROM orders) GROUP BY ALL")
@@ -234,9 +224,7 @@ def task_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ranksight.streaming.incremental import event_windows as windows
-
-    return windows(load(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+    return incremental.event_windows(load(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS with_k FROM events GROUP BY user_id")

@@ -109,6 +109,8 @@ def test_budgets(spark, sizes, budget):
             left -= s
             if left <= 0:
                 break
+    ranked = lifecycle.places(items, [F.desc("n"), F.col("i")], 3).collect()
+    assert {r.i: r.place for r in ranked} == {i: k + 1 for k, (_, i) in enumerate(sorted((-s, i) for i, s in enumerate(sizes)))}
     assert sorted(r.i for r in lifecycle.soft_budget(items, "n", [F.col("i")], budget, 3).collect()) == soft
     assert sorted(r.i for r in lifecycle.hard_budget(items, "n", [F.col("i")], budget).collect()) == hard
 
