@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranksight.runtime import materialize, parallelism, spread
+from ranksight.runtime import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -396,22 +396,23 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, total: int, cfg:
             r, c = r[~drop], c[~drop]
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids[r]), pa.array(role.astype(np.int32)), _bytes_column(x[r])], names=["cell", "id", "role", "x"])
 
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        ids, role = table.column("id").to_numpy(), table.column("role").to_numpy()
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, dim)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task holds one cell, which is bounded."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, role = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
+        x = np.frombuffer(b"".join(v for b in held for v in b.column(3).to_pylist()), np.float32).reshape(-1, dim)
         p = np.flatnonzero(role != 1)
         p = p[np.unique(ids[p], return_index=True)[1]]
         q = np.flatnonzero(role != 0)
         q = q[np.unique(ids[q], return_index=True)[1]]
-        if not len(p) or not len(q):
-            a, n, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
+        if len(p) and len(q):
             a, n, s = search_shard(ids[p], x[p], ids[q], x[q], cfg)
-        return pa.table({"id": a, "neighbor_id": n, "similarity": s})
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(s)], names=["id", "neighbor_id", "similarity"])
 
     routed = source.mapInArrow(route, "cell long, id long, role int, x binary")
-    cells = int(base[-1])
-    return routed.repartition(min(cells, max(parallelism(spark), cells // 2)), "cell").groupBy("cell").applyInArrow(search, "id long, neighbor_id long, similarity double")
+    return routed.repartitionById(int(base[-1]), F.col("cell").cast("int")).mapInArrow(search, "id long, neighbor_id long, similarity double")
 
 
 def _expand_copies(nn: DataFrame, members: DataFrame, copied: DataFrame, k: int) -> DataFrame:
