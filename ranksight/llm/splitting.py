@@ -92,8 +92,8 @@ def successors(pos: np.ndarray, kind: np.ndarray, text: np.ndarray, cfg: SplitCo
     """(end, next) of a piece that starts at each boundary, as indices into the boundaries of all texts in a row.
 
     ``end`` is the farthest boundary of the strongest kind within the limit; ``next`` the strongest, then earliest
-    boundary that shares at most ``overlap`` characters with it, and lies behind the start. A start whose end is the
-    end of its text is its own successor.
+    boundary that shares at most ``overlap`` characters with it, lies behind the start and reaches beyond ``end``; without
+    one it is ``end``. A start whose end is the end of its text is its own successor.
     """
     n = len(pos)
     base = np.r_[0, np.cumsum(np.bincount(text))] if n else np.zeros(1, np.int64)
@@ -122,7 +122,7 @@ def successors(pos: np.ndarray, kind: np.ndarray, text: np.ndarray, cfg: SplitCo
             continue
         at = np.searchsorted(of, low)
         cand = of[np.minimum(at, len(of) - 1)]
-        ok = ~settled & (at < len(of)) & (cand <= end)
+        ok = ~settled & (at < len(of)) & (cand <= end) & (end[cand] > end)  # a piece must bring something new
         if k > SENTENCE:
             ok &= cand < end  # a start right at the end would share nothing; look for a weaker one first
         nxt[ok] = cand[ok]

@@ -61,6 +61,11 @@ def test_piece_invariants(text, limit, overlap):
     check_pieces(text, splitting.SplitConfig(limit, overlap))
 
 
+def test_every_piece_brings_something_new():
+    """With an overlap larger than the least fill, the same end could be chosen again."""
+    check_pieces(" `````````````\r```````", splitting.SplitConfig(20, 14))
+
+
 def sequential(text, cfg):
     """The greedy rule, one cut at a time."""
     pos, kind = splitting.boundaries(text, cfg.limit)
