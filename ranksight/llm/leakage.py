@@ -32,6 +32,11 @@ class LeakConfig:
     block_words: int = 1_500_000
     query_words: int = 2_000_000
 
+    @property
+    def least(self) -> int:
+        """Least agreeing words of a proximity match."""
+        return max(1, int(np.ceil(self.near_share * self.words - 1e-9)))
+
 
 class TestItems:
     """Word hashes of a block of test items, with the vocabulary they use."""
@@ -62,6 +67,21 @@ class TestItems:
         item = np.searchsorted(first, place, side="right") - 1
         return place, item
 
+    def loose_seeds(self, places: range, n: int, least: int, count: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Seeds for ``least`` agreeing words of some ``n`` within ``places``, each with its company.
+
+        ``n - least`` words of a window may fail, so one of its ``n - least + 1`` rarest agrees, and two of its
+        ``n - least + 2`` rarest do: a seed that agrees has at least one agreeing word in its company. A word that no
+        document has is one that fails.
+        """
+        df = count[np.searchsorted(self.vocabulary, self.words[places.start : places.stop])]
+        rarest = np.lib.stride_tricks.sliding_window_view(df, n).argsort(axis=1, kind="stable") + places.start
+        rarest += np.arange(len(rarest))[:, None]
+        seeds, more = rarest[:, : n - least + 1], rarest[:, : n - least + 2]
+        for place in np.unique(seeds).tolist():
+            if df[place - places.start]:
+                yield place, sorted({*more[(seeds == place).any(axis=1)].ravel().tolist()} - {place})
+
 
 def _pack(x: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
@@ -128,28 +148,39 @@ def term_counts(index: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _holds(sorted_list: np.ndarray, x: np.ndarray, slop: int = 0) -> np.ndarray:
-    """Whether the list has a number within ``slop`` of each x."""
+def _holds(sorted_list: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the list has a number from each low to its high."""
     if not len(sorted_list):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(sorted_list, x - slop)
-    return (at < len(sorted_list)) & (sorted_list[np.minimum(at, len(sorted_list) - 1)] <= x + slop)
+        return np.zeros(len(low), bool)
+    at = np.searchsorted(sorted_list, low)
+    return (at < len(sorted_list)) & (sorted_list[np.minimum(at, len(sorted_list) - 1)] <= high)
 
 
-def passages(items: TestItems, seed_place: np.ndarray, seed_item: np.ndarray, row: tuple[bytes, ...], cfg: LeakConfig) -> list[tuple[int, int, int, int, int, str]]:
-    """(document, item, word in document, word in item, length, kind) of the passages in one index block."""
-    docs, starts, terms, cuts, postings = (np.frombuffer(x, k) for x, k in zip(row, (np.int64, np.int64, np.int32, np.int64, np.int32)))
-    first = np.r_[0, np.cumsum(items.sizes)]
-    term_of = np.searchsorted(items.vocabulary, items.words)
-    slot = np.full(len(items.vocabulary), -1, np.int64)
-    slot[terms] = np.arange(len(terms))
+class _Block:
+    """One index block, seen from the places of the test items."""
+
+    def __init__(self, items: TestItems, row: tuple[bytes, ...]) -> None:
+        self.docs, self.starts, terms, self.cuts, self.postings = (np.frombuffer(x, k) for x, k in zip(row, (np.int64, np.int64, np.int32, np.int64, np.int32)))
+        self.term_of = np.searchsorted(items.vocabulary, items.words)
+        self.slot = np.full(len(items.vocabulary), -1, np.int64)
+        self.slot[terms] = np.arange(len(terms))
+
+    def listed(self, place: int) -> np.ndarray:
+        s = self.slot[self.term_of[place]]
+        return self.postings[self.cuts[s] : self.cuts[s + 1]] if s >= 0 else self.postings[:0]
 
-    def listed(place: int) -> np.ndarray:
-        s = slot[term_of[place]]
-        return postings[cuts[s] : cuts[s + 1]] if s >= 0 else postings[:0]
+    def agree(self, places: range, place: int, at: np.ndarray, doc: np.ndarray, slop: int) -> np.ndarray:
+        """[at, places] whether each place's word lies within ``slop`` words of its place in the same document, if ``place`` is at ``at``."""
+        first, last = self.starts[doc], self.starts[doc + 1] - 1
+        return np.stack([_holds(self.listed(p), np.maximum(at + (p - place - slop), first), np.minimum(at + (p - place + slop), last)) for p in places], axis=1)
 
+
+def passages(items: TestItems, count: np.ndarray, seed_place: np.ndarray, seed_item: np.ndarray, row: tuple[bytes, ...], cfg: LeakConfig) -> list[tuple[int, int, int, int, int, str]]:
+    """(document, item, word in document, word in item, length, kind) of the passages in one index block."""
+    block = _Block(items, row)
+    docs, starts, listed = block.docs, block.starts, block.listed
+    first = np.r_[0, np.cumsum(items.sizes)]
     runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # (document, item, alignment) -> runs of item words
-    loosely: dict[tuple[int, int], tuple[int, int, int]] = {}
     for place, item in zip(seed_place.tolist(), seed_item.tolist()):
         at = listed(place).astype(np.int64)
         if not len(at):
@@ -159,14 +190,14 @@ def passages(items: TestItems, seed_place: np.ndarray, seed_item: np.ndarray, ro
         near = np.zeros(len(at), bool)
         for k in (-1, 1):
             if lo <= place + k < hi:
-                near |= _holds(listed(place + k), at + k, cfg.slop)
+                near |= _holds(listed(place + k), at + k, at + k)
         if cfg.words > 1:
             at = at[near]
         if not len(at):
             continue
         doc = np.searchsorted(starts, at, side="right") - 1
         reach = range(max(lo, place - cfg.words + 1), min(hi, place + cfg.words))
-        agree = np.stack([_holds(listed(p), at + (p - place)) & (starts[doc] <= at + (p - place)) & (at + (p - place) < starts[doc + 1]) for p in reach], axis=1)
+        agree = block.agree(reach, place, at, doc, 0)
         centre = place - reach.start
         left = np.logical_and.accumulate(agree[:, centre::-1], axis=1).sum(axis=1)
         right = np.logical_and.accumulate(agree[:, centre:], axis=1).sum(axis=1)
@@ -175,13 +206,6 @@ def passages(items: TestItems, seed_place: np.ndarray, seed_item: np.ndarray, ro
             begin = place - int(left[j]) + 1 - lo
             shift = int(at[j] - starts[doc[j]]) - (place - lo)
             runs.setdefault((int(docs[doc[j]]), item, shift), []).append((begin, begin + int(length[j])))
-        if cfg.slop:
-            loose = np.stack([_holds(listed(p), at + (p - place), cfg.slop) for p in reach], axis=1)
-            wide = min(cfg.words, loose.shape[1])
-            best = np.lib.stride_tricks.sliding_window_view(loose, wide, axis=1).sum(axis=2).max(axis=1)
-            for j in np.flatnonzero((length < cfg.words) & (best >= cfg.near_share * cfg.words)):
-                key = (int(docs[doc[j]]), item)
-                loosely[key] = max(loosely.get(key, (0, 0, 0)), (int(best[j]), int(at[j] - starts[doc[j]]), place - lo))
     out = []
     for (d, item, shift), found in runs.items():  # runs seen from several seeds are parts of one passage
         found.sort()
@@ -192,16 +216,89 @@ def passages(items: TestItems, seed_place: np.ndarray, seed_item: np.ndarray, ro
                 continue
             out.append((d, int(items.ids[item]), begin + shift, begin, end - begin, "exact"))
             begin, end = x, y
-    exact = {(d, item) for d, item, _ in runs}
-    out += [(d, int(items.ids[item]), dw, iw, n, "near") for (d, item), (n, dw, iw) in loosely.items() if (d, item) not in exact]
+    if cfg.slop:
+        exact: dict[int, set[int]] = {}
+        for d, item, _ in runs:
+            exact.setdefault(item, set()).add(d)
+        for item in range(len(items.sizes)):
+            found = _loose(items, count, item, block, np.array(sorted(exact.get(item, ())), np.int64), cfg)
+            out += [(d, int(items.ids[item]), dw, iw, n, "near") for d, (n, dw, iw) in found.items()]
     return out
 
 
+def _loose(items: TestItems, count: np.ndarray, item: int, block: _Block, without: np.ndarray, cfg: LeakConfig) -> dict[int, tuple[int, int, int]]:
+    """Document -> (agreeing words, first of them in the document, in the item) of the item's best proximity match there.
+
+    A seed may itself lie up to ``slop`` words off, so every alignment that far from it is tried; from the seed, the other
+    words of such an alignment are at most twice as far off, which sorts out most of its postings at once.
+    """
+    lo, hi = int(items.sizes[:item].sum()), int(items.sizes[: item + 1].sum())
+    best: dict[int, tuple[int, int, int]] = {}
+    if cfg.least > cfg.words:
+        return best
+    for begin in range(lo, hi - cfg.words + 1, 64):  # so many windows at a time, however long the item
+        places = range(begin, min(begin + 63 + cfg.words, hi))
+        at = [np.zeros(0, np.int64)]  # of the first place
+        doc = [np.zeros(0, np.int64)]
+        for seed, others in items.loose_seeds(places, cfg.words, cfg.least, count):
+            own = block.listed(seed).astype(np.int64)
+            if len(own) and cfg.least > 1:
+                company = np.sort(np.concatenate([block.listed(p).astype(np.int64) - (p - seed) for p in others]))
+                own = own[_holds(company, own - 2 * cfg.slop, own + 2 * cfg.slop)]
+            if len(own):
+                at.append(own - (seed - begin))
+                doc.append(np.searchsorted(block.starts, own, side="right") - 1)
+        at, doc = _distinct(np.concatenate(at), np.concatenate(doc))
+        ok = ~np.isin(block.docs[doc], without)
+        at, doc = at[ok], doc[ok]
+        for k in range(0, len(at), 50_000):
+            _best_of(best, places, block, at[k : k + 50_000], doc[k : k + 50_000], cfg, lo)
+    return best
+
+
+def _distinct(at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((at, doc))
+    at, doc = at[order], doc[order]
+    new = np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])][: len(at)]
+    return at[new], doc[new]
+
+
+def _best_of(best: dict[int, tuple[int, int, int]], places: range, block: _Block, at: np.ndarray, doc: np.ndarray, cfg: LeakConfig, lo: int) -> None:
+    """Enters the proximity matches at alignments up to ``slop`` off ``at`` in ``best``; equally good ones go to the first word."""
+
+    def matched(slop: int) -> tuple[np.ndarray, np.ndarray]:
+        agree = block.agree(places, places.start, at, doc, slop)
+        total = np.concatenate([np.zeros((len(at), 1), np.int32), np.cumsum(agree, axis=1, dtype=np.int32)], axis=1)
+        return agree, total[:, cfg.words :] - total[:, : -cfg.words]
+
+    ok = (matched(2 * cfg.slop)[1] >= cfg.least).any(axis=1)
+    shifts = np.arange(-cfg.slop, cfg.slop + 1)
+    at, doc = _distinct((at[ok][:, None] + shifts).ravel(), np.repeat(doc[ok], len(shifts)))
+    if not len(at):
+        return
+    agree, n = matched(cfg.slop)
+    row, begin = np.nonzero(n >= cfg.least)
+    n, at, doc = n[row, begin], at[row], doc[row]
+    head = begin + np.lib.stride_tricks.sliding_window_view(agree, cfg.words, axis=1)[row, begin].argmax(axis=1)
+    word = np.zeros(len(row), np.int64)
+    for h in np.unique(head).tolist():
+        own = np.flatnonzero(head == h)
+        held, first = block.listed(places[h]), block.starts[doc[own]]
+        word[own] = held[np.searchsorted(held, np.maximum(at[own] + (h - cfg.slop), first))] - first
+    ids, head = block.docs[doc], head + (places.start - lo)
+    order = np.lexsort((head, word, -n, ids))
+    order = order[np.r_[True, ids[order][1:] != ids[order][:-1]][: len(order)]]
+    for d, *now in zip(ids[order].tolist(), n[order].tolist(), word[order].tolist(), head[order].tolist()):
+        best[d] = min(best.get(d, tuple(now)), tuple(now), key=lambda x: (-x[0], x[1], x[2]))
+
+
 def leaked_passages(docs: DataFrame, tests: DataFrame, cfg: LeakConfig = LeakConfig(), doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, kind) of the passages of test items in documents.
 
     ``kind`` is ``exact`` for a longest run of at least ``words`` consecutive words of the item, ``near`` for the best
-    proximity match (with ``slop``) of an item in a document without an exact one; ``n_words`` counts the agreeing words.
+    proximity match (with ``slop``) of an item in a document without an exact one: an alignment at which at least
+    ``near_share`` of ``words`` consecutive words of the item have an equal word of the document within ``slop`` words of
+    their places. ``n_words`` counts the agreeing words; the first of them is ``item_word``, in the document ``doc_word``.
     Words are runs of letters and digits in lower case. Null ids and texts, and items of fewer than ``words`` words, give
     no rows; repeated documents are reported with the same ids once. Test items are held against the stored index in
     blocks of ``query_words`` words; documents never leave their block, so a word in every document costs no shuffle.
@@ -213,7 +310,8 @@ def leaked_passages(docs: DataFrame, tests: DataFrame, cfg: LeakConfig = LeakCon
     result = spark.createDataFrame([], schema)
     for items in blocks:
         index = positional_index(docs, items.vocabulary, cfg, doc_id, text_col)
-        shared = spark.sparkContext.broadcast((items, *items.seeds(cfg.words, term_counts(index, len(items.vocabulary)))))
+        count = term_counts(index, len(items.vocabulary))
+        shared = spark.sparkContext.broadcast((items, count, *items.seeds(cfg.words, count)))
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:

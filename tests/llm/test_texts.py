@@ -158,6 +158,56 @@ def test_passages_and_proximity(spark):
     assert loose == {(1, "exact"), (2, "near")}
 
 
+def near_brute(docs, items, cfg):
+    """(document, item) -> most agreeing words of a window at any alignment, without pairs that have an exact passage."""
+    out, exact = {}, leaks_brute(docs, items, cfg.words)
+    for d, t in docs:
+        w = words_of(t)
+        for k, q in items:
+            v = words_of(q)
+            for s in range(-len(v) - cfg.slop, len(w) + cfg.slop + 1):
+                hit = [x in w[max(0, s + p - cfg.slop) : max(0, s + p + cfg.slop + 1)] for p, x in enumerate(v)]
+                n = max((sum(hit[a : a + cfg.words]) for a in range(len(v) - cfg.words + 1)), default=0)
+                if (d, k) not in exact and n >= cfg.near_share * cfg.words:
+                    out[d, k] = max(n, out.get((d, k), 0))
+    return out
+
+
+def test_proximity_survives_replaced_words(spark):
+    """The rarest word of every window is replaced, or no document has it."""
+    item = [f"q{i}" for i in range(12)]
+    docs = [(i, " ".join(f"q{j}" for j in range(12) if j != 5)) for i in range(3)]  # q5 is in no document
+    docs += [(10 + i, " ".join(["other" if j == i else w for j, w in enumerate(item)])) for i in range(12) if i != 5]
+    docs += [(50, "q2 alone"), (51, " ".join(item[:9])), (52, " ".join(item[:4])), (53, " ".join(item[4:8]))]  # parts of neighbours don't add up
+    d, t = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    cfg = leakage.LeakConfig(slop=2)
+    got = {(r.doc_id, r.item_id): r.n_words for r in leakage.leaked_passages(d, t, cfg).collect()}
+    assert got == near_brute(docs, [(7, " ".join(item))], cfg) and len(got) == 15
+
+
+@pytest.mark.parametrize("cfg", [leakage.LeakConfig(slop=2), leakage.LeakConfig(slop=1, near_share=0.6), leakage.LeakConfig(words=5, slop=1, near_share=0.2), leakage.LeakConfig(words=6, slop=3, near_share=1.0)])
+def test_proximity_against_brute_force(spark, cfg):
+    rng = random.Random(cfg.words)
+    items = [(i, " ".join(f"w{min(int(rng.expovariate(0.05)), 120)}" for _ in range(rng.randint(4, 30)))) for i in range(12)]
+    docs = []
+    for i in range(120):
+        w = [f"w{min(int(rng.expovariate(0.05)), 120)}" for _ in range(rng.randint(0, 15))]
+        q = words_of(rng.choice(items)[1])
+        a = rng.randrange(len(q))
+        q = q[a : a + rng.randint(6, 20)]
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(q) + 1)
+            q[k : k + rng.randint(0, 2)] = [f"n{rng.randrange(9)}"] * rng.randint(0, 2)
+        at = rng.randint(0, len(w))
+        w[at:at] = q
+        docs.append((i, " ".join(w)))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    rows = [r for r in leakage.leaked_passages(d, t, cfg).collect() if r.kind == "near"]
+    assert {(r.doc_id, r.item_id): r.n_words for r in rows} == near_brute(docs, items, cfg) and len(rows) > 5
+    for r in rows:
+        assert words_of(docs[r.doc_id][1])[r.doc_word] == words_of(items[r.item_id][1])[r.item_word]
+
+
 # ---- mixtures
 
 
