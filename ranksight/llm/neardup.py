@@ -36,12 +36,12 @@ SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 @dataclass(frozen=True)
 class NearDupConfig:
-    """``sketch`` bounds the bytes of the sketch of run counts, ``shard_cap`` the members of a shard's block. In shards of up to
+    """``min_words`` leaves shorter texts out; without it every text that has a run takes part. ``sketch`` bounds the bytes of the sketch of run counts, ``shard_cap`` the members of a shard's block. In shards of up to
     ``paired`` members those that can have no partner there, by sizes and places of the shared run, are dropped early."""
 
     words: int = 5
     similarity: float = 0.8
-    min_words: int = 20
+    min_words: int = 0
     sketch: int = 1 << 24
     shard_cap: int = 2_048
     paired: int = 64
@@ -389,7 +389,7 @@ def near_duplicate_groups(texts: DataFrame, cfg: NearDupConfig = NearDupConfig()
 
     Two texts are linked if their word-run sets have at least ``similarity`` (intersection over union) and, with
     ``group_col``, their group names differ (without outer blanks, in lower case). Null ids, null texts, texts of fewer
-    than ``min_words`` words and, with ``group_col``, null group names take no part. Rows delivered twice count once;
+    than ``words`` or ``min_words`` words and, with ``group_col``, null group names take no part. Rows delivered twice count once;
     texts with equal run sets have one ``class_id``. Texts without a link don't come out; an empty table gives no rows.
     """
     sets = materialize(text_sets(texts, cfg, id_col, text_col, group_col), "text_sets")

@@ -67,6 +67,24 @@ def test_against_brute_force(spark, words, similarity, grouped):
     assert groups(got) == brute(rows, cfg, grouped)
 
 
+def test_short_texts_take_part(spark):
+    """From five words on, with a short template in a third of the rows."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(2)}" for _ in range(rng.randint(0, 9))), None) for i in range(300)]
+    rows += [(1000 + i, "See the linked task card", None) for i in range(150)] + [(2000, "only four words here", None), (2001, "only four words here", None)]
+    cfg = N.NearDupConfig()
+    got = groups(N.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string, skill string").repartition(5), cfg))
+    assert got == brute(rows, cfg, False) and list(range(1000, 1150)) in got and len(got) > 10
+
+
+def test_documents_of_five_words_come_out(spark, tmp_path):
+    from ranksight.llm.queries import QUERIES
+
+    rows = [(1, "one two three four five"), (2, "One, two, three, four, five!"), (3, "one two three four six"), (4, "too short"), (5, "too short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in QUERIES["p2_documents"](spark, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_hot_runs_are_cut_and_lose_nothing(spark):
     """A sentence in every text makes one hot shard per run; blocks of 16 cut them."""
     rng = random.Random(4)
