@@ -139,8 +139,12 @@ def exact_top(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarr
     return np.concatenate(out)
 
 
-def unit_rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit float32 vectors of the usable rows: ``dim`` finite numbers, not all zero, id not null."""
+#: More than float32 can be off in the difference of two cosines.
+SLACK = np.float32(2e-5)
+
+
+def usable_rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and float32 vectors, as stored, of the usable rows: ``dim`` finite numbers, not all zero, id not null."""
     ids, emb = batch.column(0), batch.column(1)
     if not len(emb):
         return np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
@@ -148,11 +152,33 @@ def unit_rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     ok = (size == dim) & ~np.asarray(emb.is_null()) & ~np.asarray(ids.is_null())
     first = emb.offsets.to_numpy()[:-1][ok]
     flat = emb.values.to_numpy(zero_copy_only=False)
-    x = flat[first[:, None] + np.arange(dim)].astype(np.float64).reshape(-1, dim)
-    norm = np.linalg.norm(x, axis=1)
+    x = flat[first[:, None] + np.arange(dim)].astype(np.float32).reshape(-1, dim)
+    norm = _norms(x)
     good = np.isfinite(norm) & (norm > 0)
-    unit = (x[good] / norm[good][:, None]).astype(np.float32) + np.float32(0)
-    return ids.fill_null(0).to_numpy(zero_copy_only=False)[ok][good].astype(np.int64), unit
+    return ids.fill_null(0).to_numpy(zero_copy_only=False)[ok][good].astype(np.int64), x[good]
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(x.astype(np.float64), axis=1)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.float64) / _norms(x)[:, None]).astype(np.float32) + np.float32(0)
+
+
+def unit_rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit float32 vectors of the usable rows."""
+    ids, x = usable_rows(batch, dim)
+    return ids, units(x)
+
+
+def cosines(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of a and j of b, stored vectors, to 13 digits: what float64 can't tell apart is equal."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 100_000):
+        x, y = a[i[k : k + 100_000]].astype(np.float64), b[j[k : k + 100_000]].astype(np.float64)
+        out[k : k + 100_000] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+    return np.round(out, 13)
 
 
 def row_keys(x: np.ndarray) -> np.ndarray:
@@ -172,11 +198,12 @@ def _bytes_column(x: np.ndarray) -> pa.Array:
 
 
 def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, cfg: NeighborConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, cosine) of the best ``k`` rows of a shard for each query, best bin first."""
-    k = cfg.k
+    """(query id, neighbour id, cosine) of the best ``k`` rows of a shard for each query, best bin first; x and q as stored."""
+    k, stored, asked = cfg.k, x, q
+    x, q = units(x), units(q)
     tree = KMeansTree.fit(x, cfg.leaf_rows, cfg.branch, cfg.seed)
     order = np.argsort(tree.label, kind="stable")
-    x, ids, label = x[order], ids[order], tree.label[order]
+    x, stored, ids, label = x[order], stored[order], ids[order], tree.label[order]
     bounds = np.searchsorted(label, np.arange(tree.n_leaves + 1))
     # widen the visits on calibration queries until the target share of true neighbours lies in opened leaves
     rng = np.random.default_rng(cfg.seed)
@@ -191,13 +218,16 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     none = np.zeros(0, np.int64)
     found = [(none, none, np.zeros(0))]
     for a in range(0, len(q), 8192):  # bounds what is held of the opened leaves
-        found.append(_scan_leaves(ids, x, bounds, tree, visits, qids[a : a + 8192], q[a : a + 8192], k))
+        found.append(_scan_leaves(ids, x, stored, bounds, tree, visits, qids[a : a + 8192], q[a : a + 8192], asked[a : a + 8192], k))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _scan_leaves(ids: np.ndarray, x: np.ndarray, bounds: np.ndarray, tree: KMeansTree, visits: int, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` rows of each query in its first ``visits`` leaves; leaf i holds the rows between bounds i and i + 1."""
-    key, width = tree.priorities(q), k + 4
+def _scan_leaves(ids: np.ndarray, x: np.ndarray, stored: np.ndarray, bounds: np.ndarray, tree: KMeansTree, visits: int, qids: np.ndarray, q: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` rows of each query in its first ``visits`` leaves; leaf i holds the rows between bounds i and i + 1.
+
+    All rows that float32 can't tell from the last of the best are compared exactly, so ties go to the smaller id however many.
+    """
+    key = tree.priorities(q)
     opened = np.argpartition(-key, visits - 1, axis=1)[:, :visits] if visits < key.shape[1] else np.tile(np.arange(key.shape[1]), (len(q), 1))
     flat = opened.ravel()
     by_leaf = np.argsort(flat, kind="stable")
@@ -210,20 +240,29 @@ def _scan_leaves(ids: np.ndarray, x: np.ndarray, bounds: np.ndarray, tree: KMean
         lo, hi = bounds[leaf], bounds[leaf + 1]
         if not len(mine) or lo == hi:
             continue
-        s = q[mine] @ x[lo:hi].T
-        if hi - lo > width:
-            top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-            s = np.take_along_axis(s, top, axis=1)
-        else:
-            top = np.broadcast_to(np.arange(hi - lo), s.shape)
-        got_q.append(np.repeat(mine, s.shape[1]))
-        got_n.append((top + lo).ravel())
-        got_s.append(s.ravel())
+        step = max(1, 2_000_000 // int(hi - lo))  # bounds the ties held at a time
+        for part in (mine[i : i + step] for i in range(0, len(mine), step)):
+            s = q[part] @ x[lo:hi].T
+            if hi - lo > k + 1:
+                row, col = np.nonzero(s >= np.partition(s, -(k + 1), axis=1)[:, -(k + 1), None] - SLACK)
+            else:
+                row, col = (i.ravel() for i in np.indices(s.shape))
+            gq, gn, gs = part[row], col + lo, s[row, col]
+            if len(gq) > 4 * (k + 1) * len(part):  # many ties
+                gq, gn, _ = _best(gq, ids[gn], cosines(asked, gq, stored, gn), gn, k + 1)
+                gs = np.einsum("ij,ij->i", q[gq], x[gn])
+            got_q.append(gq)
+            got_n.append(gn)
+            got_s.append(gs)
     gq, gn, gs = np.concatenate(got_q), np.concatenate(got_n), np.concatenate(got_s)
     other = qids[gq] != ids[gn]
     gq, gn, gs = gq[other], gn[other], gs[other]
-    gq, gn, gs = _best(gq, ids[gn], gs, gn, k + 3)
-    exact = np.einsum("ij,ij->i", q[gq].astype(np.float64), x[gn].astype(np.float64))
+    o = np.lexsort((-gs, gq))
+    gq, gn, gs = gq[o], gn[o], gs[o]
+    start, end = np.searchsorted(gq, gq, side="left"), np.searchsorted(gq, gq, side="right")
+    near = gs >= gs[np.minimum(start + k, end) - 1] - SLACK
+    gq, gn = gq[near], gn[near]
+    exact = cosines(asked, gq, stored, gn)
     gq, gn, exact = _best(gq, ids[gn], exact, gn, k)
     return qids[gq], ids[gn], exact
 
@@ -368,7 +407,8 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, total: int, cfg:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = unit_rows(b, dim)
+            ids, stored = usable_rows(b, dim)
+            x = units(stored)
             home, row, shard = bins(x)
             # the row as a point: once for each query part of its home; as a query: once for each point part of all shards it opens
             salt = row_keys(x) if len(x) else np.zeros(0, np.int64)
@@ -394,7 +434,7 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, total: int, cfg:
             drop = np.r_[False, both[:-1]] if len(r) else both
             role = np.where(both, 2, role)[~drop]
             r, c = r[~drop], c[~drop]
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids[r]), pa.array(role.astype(np.int32)), _bytes_column(x[r])], names=["cell", "id", "role", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids[r]), pa.array(role.astype(np.int32)), _bytes_column(stored[r])], names=["cell", "id", "role", "x"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task holds one cell, which is bounded."""

@@ -67,6 +67,18 @@ def test_a_third_are_copies_and_hot_shards(spark):
     assert recall(got, want) >= 0.97 and len(got) == len(x)
 
 
+def test_ties_of_scaled_vectors_go_to_the_smaller_id(spark):
+    """More vectors of one direction, and none bit-equal after normalising, than a leaf's best hold."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=64)
+    x = np.concatenate([np.outer(1.0 + np.arange(60) * 0.37, one), rng.normal(size=(200, 64))]).astype(np.float32)
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "chunk_id long, embedding array<float>").repartition(3)
+    got = found(V.nearest_vectors(df, V.NeighborConfig(recall=1.0)))
+    same = sorted(ids[:60].tolist())
+    assert all(got[i] == [j for j in same[:6] if j != i][:5] for i in same)
+
+
 def test_dirty_rows_and_clashing_columns(spark):
     e = [1.0] + [0.0] * 63
     f = [0.0, 1.0] + [0.0] * 62
