@@ -5,14 +5,28 @@ Null in, null out, unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ranksight.settings import NOISE_ENTITIES, SYNTHETIC_PREFIXES, SessionLimits
 
-#: Letters whose marks the index drops, and what stays of them. Cyrillic letters and ``ß`` keep theirs.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _bare_letters() -> dict[str, str]:
+    """Latin letters that Unicode composes of an ASCII letter and marks, by that letter. Cyrillic letters keep their marks."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        whole = chr(code).lower()
+        bare = unicodedata.normalize("NFD", whole)
+        if len(whole) == 1 and len(bare) > 1 and bare[0].isascii() and bare[0].isalpha():
+            found[whole] = bare[0]
+    return found
+
+
+_BARE = _bare_letters()
+_MARKED, _PLAIN = "".join(_BARE), "".join(_BARE.values())
 
 #: A term of the index: letters and digits of any alphabet.
 TERM = r"[\p{L}\p{N}]+"
@@ -22,9 +36,9 @@ QUERY_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def fold(c: Column) -> Column:
-    """Lower case, without the marks on Latin letters."""
+    """Lower case, without the marks on Latin letters and without combining marks."""
     low = F.lower(c)
-    return F.when(low.rlike("[à-ž]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
+    return F.when(low.rlike("[\u00e0-\u024f\u0300-\u036f\u1e00-\u1eff]"), F.translate(F.regexp_replace(low, "[\u0300-\u036f]", ""), _MARKED, _PLAIN)).otherwise(low)
 
 
 def terms(c: Column) -> Column:

@@ -22,6 +22,21 @@ from ranksight.settings import BM25_B, BM25_K1, IDF_FLOOR
 FILTERED_TERMS = 2_000
 
 
+def index_tables(records: DataFrame, id_col: str, text: Column, others: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(lengths: id, dl) and (words: id, at, term) of every record with an id."""
+    rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
+    total = F.size(terms(F.col("_text")))
+    for i in range(len(others)):
+        total = total + F.size(terms(F.col(f"_{i}")))
+    return rows.select("id", total.alias("dl")), rows.select("id", F.posexplode(terms(F.col("_text"))).alias("at", "term"))
+
+
+def postings_of(words: DataFrame) -> DataFrame:
+    """(term, id, tf, positions) of (id, at, term), clustered by term, so that a query reads the row groups of its terms only."""
+    lists = words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    return lists.repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
 @dataclass
 class InvertedIndex:
     """``words`` (id, at, term) of an index that isn't stored: its postings are made for the terms of a query only."""
@@ -37,13 +52,12 @@ class InvertedIndex:
 
         Records are taken as delivered: repeated ids must be dropped before.
         """
-        rows = spread(records.where(F.col(id_col).isNotNull()).select(id_col, text.alias("_text"), *others))
-        total = F.size(terms(F.col("_text")))
-        for c in others:
-            total = total + F.size(terms(F.col(c)))
-        lengths = materialize(rows.select(F.col(id_col).alias("id"), total.alias("dl")), "lengths")
-        words = rows.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col("_text"))).alias("at", "term"))
-        return cls(lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), words=words)
+        lengths, words = index_tables(spread(records), id_col, text, others)
+        return cls.stored(materialize(lengths, "lengths"), None, words)
+
+    @classmethod
+    def stored(cls, lengths: DataFrame, postings: DataFrame | None, words: DataFrame | None = None) -> InvertedIndex:
+        return cls(lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), postings, words)
 
     def lookup(self, wanted: DataFrame | list[str] | None = None, positions: bool = True) -> DataFrame:
         """Postings (term, id, tf, positions) of the distinct ``wanted`` terms (a list or a column ``term``), or of all."""
@@ -57,15 +71,14 @@ class InvertedIndex:
         places = [F.array_sort(F.collect_list("at")).alias("positions")] if positions else []
         return source.groupBy("term", "id").agg(F.count("*").alias("tf"), *places)
 
-    def save(self, path: str, parts: int = 64) -> None:
-        """Postings clustered by term, so that a query reads the row groups of its terms only."""
-        self.lookup().repartitionByRange(parts, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    def save(self, path: str) -> None:
+        """The index as tables below ``path``; ``lengths`` come last, so an index with lengths is complete."""
+        postings_of(self.words).write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> InvertedIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("lengths", "stats", "postings")))
+        return cls.stored(spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/postings"))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query", words: Column | None = None) -> DataFrame:

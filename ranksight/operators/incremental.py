@@ -1,17 +1,20 @@
 """What the next run must index: present marks of scanned items against the marks of the last valid index rows.
 
-The index state and the scan are two versions of one table of marks; the difference is read from the manifests.
+Marks live in versioned tables: ``seen`` (what scans saw), ``held`` (what the index has) and ``due`` (the answer). Bringing
+``seen`` and ``held`` up to date writes only what differs; the manifests between two versions say which items that were, and
+only those items are judged anew. The commit of ``due`` carries the versions of ``seen`` and ``held`` it has processed.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksight.operators.versions import VersionedTable
-from ranksight.runtime import shared_dir
+from ranksight.runtime import materialize, table_dir
 
 MARKS = "item_kind string, item_key string, mark string"
 
@@ -67,6 +70,48 @@ def present_marks(scan_log: DataFrame) -> DataFrame:
     return rows.groupBy("item_kind", "item_key").agg(last.alias("last")).select("item_kind", "item_key", "last.mark")
 
 
+class IndexPlan:
+    """The state of planning in a folder, carried from run to run.
+
+    A run calls ``see`` and ``hold`` with what it knows, then ``due``. Each of the three is one commit, or none if nothing
+    differs. A run that dies in between leaves versions that the next ``due`` finds unprocessed, so no item is skipped, and
+    none is judged twice: an item stays in ``due``, whatever runs do in the meantime, until ``hold`` shows its present mark.
+    """
+
+    KEY = ["item_kind", "item_key"]
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.seen, self.held, self.waiting = (VersionedTable(spark, f"{path}/{n}", MARKS) for n in ("seen", "held", "due"))
+
+    def see(self, marks: DataFrame, whole: bool = True) -> int:
+        """(item_kind, item_key, mark) as scans saw them last: of all items, or only of those that changed."""
+        return self.seen.merge(marks, self.KEY, whole=whole)
+
+    def hold(self, marks: DataFrame, whole: bool = True) -> int:
+        """(item_kind, item_key, mark) of what the index validly has: all of it, or only what a run added."""
+        return self.held.merge(marks, self.KEY, whole=whole)
+
+    def due(self) -> DataFrame:
+        """(item_kind, item_key) of the items to index.
+
+        Items named by the manifests since the last commit are joined with the newest marks; the rest stays as it is.
+        """
+        base, tables = self.waiting.version(), {"seen": self.seen, "held": self.held}
+        done = {n: self.waiting.processed(n) for n in tables}
+        upto = {n: t.version() for n, t in tables.items()}
+        if any(done[n] < upto[n] for n in tables):
+            deltas = [t.changes(done[n], upto[n]).select(*self.KEY) for n, t in tables.items() if done[n] < upto[n]]
+            touched = materialize(reduce(DataFrame.unionByName, deltas).distinct(), "touched_items")
+            now = self.seen.snapshot(upto["seen"]).join(touched, self.KEY, "left_semi")
+            was = self.held.snapshot(upto["held"]).join(touched, self.KEY, "left_semi").select(*self.KEY, F.struct("mark").alias("held"))
+            unknown = F.col("held").isNull()
+            differs = F.col("mark").isNotNull() & ~F.col("mark").eqNullSafe(F.col("held.mark"))
+            fresh = now.join(was, self.KEY, "left").where(unknown | differs).select(*self.KEY, "mark")
+            stale = self.waiting.snapshot(base, positions=True).join(touched, self.KEY, "left_semi").select("_file", "_row")
+            self.waiting.commit(fresh, stale, properties={f"processed:{n}": str(v) for n, v in upto.items()}, base=base)
+        return self.waiting.snapshot().select(*self.KEY)
+
+
 def items_to_index(scan_log: DataFrame, files: DataFrame, sources: DataFrame, runs: DataFrame, path: str | None = None) -> DataFrame:
     """(item_kind, item_key) of exactly the items the next run must index.
 
@@ -75,13 +120,17 @@ def items_to_index(scan_log: DataFrame, files: DataFrame, sources: DataFrame, ru
     Late, repeated and unordered scan rows, null marks, repeated index rows and rows of failed, crashed or unfinished
     runs are all allowed for. An item whose marks are all null is due only if it has no valid row: nothing says that it
     changed. Null keys are no items. Items that are no longer scanned are not due. Empty tables are allowed.
+
+    ``path`` is the folder of the plan (see ``IndexPlan``). A call on a plan that earlier calls left writes and judges only
+    what has changed since; the answer is that of the tables as they are now, whatever the plan holds.
     """
     spark = scan_log.sparkSession
-    table = VersionedTable(spark, path or f"{shared_dir(spark)}/marks-{uuid.uuid4().hex}", MARKS)
-    held = index_marks(files, sources, runs)
-    indexed = table.commit(held)
-    seen = present_marks(scan_log)
-    # an unread item takes over the mark it has, if it has one
-    unread = seen.where("mark is null").select("item_kind", "item_key").join(table.snapshot(indexed), ["item_kind", "item_key"], "left_semi")
-    scanned = table.merge(seen.join(unread, ["item_kind", "item_key"], "left_anti"), ["item_kind", "item_key"])
-    return table.changes(indexed, scanned).where("change = 'insert'").select("item_kind", "item_key").distinct()
+    plan = IndexPlan(spark, path or f"{table_dir(spark)}/plan-{uuid.uuid4().hex}")
+    for last in (False, False, True):
+        try:
+            plan.hold(index_marks(files, sources, runs))
+            plan.see(present_marks(scan_log))
+            return plan.due()
+        except FileExistsError:  # another run on the same plan committed first; its versions are the new base
+            if last:
+                raise

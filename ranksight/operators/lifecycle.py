@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksight.operators.versions import Folder, VersionedTable
-from ranksight.runtime import broadcast_if_small, materialize
+from ranksight.runtime import broadcast_if_small, materialize, parallelism
 
 
 def diff(current: DataFrame, stored: DataFrame, key: list[str], mark: Column | str) -> DataFrame:
@@ -23,52 +23,68 @@ def diff(current: DataFrame, stored: DataFrame, key: list[str], mark: Column | s
     return a.join(b, key, "full").select(*key, state.alias("state"))
 
 
-def places(rows: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
+def _parts(rows: DataFrame, parts: int | None) -> int:
+    """Range partitions of an order: as many as shuffles have, unless told otherwise."""
+    return parts or parallelism(rows.sparkSession)
+
+
+def places(rows: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
     """``rows`` with ``place`` from 1 in the order: ranks within ranges plus the sizes of the ranges before.
 
     Range bounds are sampled anew by every job, so the parts are fixed in a table before two jobs use them.
     """
-    ranges = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranges = materialize(rows.repartitionByRange(_parts(rows, parts), *order).withColumn("_part", F.spark_partition_id()), "ranges")
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = ranges.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_base"))  # `parts` rows
     return ranges.withColumn("_in", inner).join(F.broadcast(base), "_part").withColumn("place", F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
 
 
-def soft_budget(items: DataFrame, size: str, order: list[Column], budget: int, parts: int = 64) -> DataFrame:
+def soft_budget(items: DataFrame, size: str, order: list[Column], budget: int, parts: int | None = None) -> DataFrame:
     """Items in order while the sum of those before is under the budget; the last one may go over it.
 
     Prefix sums are taken over range partitions of the order (see ``places``) and their totals, so no task holds all items.
     """
-    spread = materialize(items.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    spread = materialize(items.repartitionByRange(_parts(items, parts), *order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     totals = spread.groupBy("_part").agg(F.sum(size).alias("_n"))
     before = totals.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")  # `parts` rows
     return spread.withColumn("_in", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "_part").where(F.col("_base") + F.col("_in") < budget).drop("_part", "_in", "_base")
 
 
+#: Items that the driver folds at a time.
+FOLD_BLOCK = 1_000
+
+
 def hard_budget(items: DataFrame, size: str, order: list[Column], budget: int) -> DataFrame:
     """First fit: items in order, each taken if it still fits; the first is taken in any case, so no item waits for ever.
 
-    The rule is a fold over the order. Items over the budget can't fit behind the first, so they drop out before; the fold
-    then reads at most as many items to the driver as can end it, through an iterator.
+    Items without a size (0, null or less) always fit and are taken by a filter. The others are folded a block of the
+    next FOLD_BLOCK candidates at a time; what is over the rest of the budget then can't fit any more, so each round
+    shrinks the candidates, and the first of a round always fits. The driver holds one block and the taken items, which
+    are at most ``budget``. Ties in the order go to the smaller size; where those tie too the items are alike.
     """
     spark = items.sparkSession
-    keyed = materialize(items.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    first = keyed.orderBy(*order).select("_row", size).limit(1).collect()
+    n = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
+    keyed = materialize(places(items.withColumn("_size", n), [*order, F.col("_size")]).withColumnRenamed("place", "_place"), "numbered")
+    first = keyed.where("_place = 1").select("_place", "_size").collect()
     if not first:
         return items
-    left, taken = budget - (first[0][1] or 0), [first[0][0]]
-    for r in keyed.where(F.col(size) <= max(left, 0)).orderBy(*order).select("_row", size).toLocalIterator():
-        if r[0] == first[0][0]:
-            continue
-        if (r[1] or 0) <= left:
-            left -= r[1] or 0
-            taken.append(r[0])
-            if left <= 0:
-                break
-    picked = spark.createDataFrame([(x,) for x in taken], "_row long")
-    return keyed.join(broadcast_if_small(picked), "_row", "left_semi").drop("_row")
+    left, at, taken = budget - first[0][1], 1, [1]
+    while left > 0:
+        block = keyed.where((F.col("_place") > at) & (F.col("_size") > 0) & (F.col("_size") <= left)).orderBy("_place").select("_place", "_size").limit(FOLD_BLOCK).collect()
+        for place, need in block:
+            if need <= left:
+                left -= need
+                taken.append(place)
+        if len(block) < FOLD_BLOCK:
+            break
+        at = block[-1][0]
+    # items without a size are taken up to the one that fills the budget
+    last = F.lit(True) if left > 0 else F.col("_place") <= taken[-1]
+    picked = broadcast_if_small(spark.createDataFrame([(x,) for x in taken], "_place long"))
+    sized = keyed.join(picked, "_place", "left_semi")
+    return sized.unionByName(keyed.where((F.col("_size") <= 0) & (F.col("_place") > 1) & last)).drop("_place", "_size")
 
 
 def replace_chunks(table: VersionedTable, changed: DataFrame, chunks: DataFrame, key: list[str], properties: dict[str, str] | None = None) -> int:
@@ -156,9 +172,13 @@ def publish(spark: SparkSession, root: str, build, refuse=None) -> str:
     build(path)
     reason = refuse() if refuse else None
     if reason:
+        folder.delete(path.rsplit("/", 1)[1], True)
         raise RuntimeError(f"not published: {reason}")
-    n = len(folder.names("pointers")) + 1
-    folder.create(f"pointers/{n:012d}", path)
+    names = folder.names("pointers")
+    folder.create(f"pointers/{int(names[-1]) + 1 if names else 1:012d}", path)
+    for old in names[:-1]:  # the version before stays for searches that have begun
+        folder.delete(folder.text(f"pointers/{old}").rsplit("/", 1)[1], True)
+        folder.delete(f"pointers/{old}")
     return path
 
 

@@ -37,7 +37,9 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str = "text", column: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
-    """``rows`` with the vector of ``text`` (cut to 10,000 characters) by ``embedder``, ``batch`` texts at a time; null for null.
+    """``rows`` with the vector of ``text`` by ``embedder``, ``batch`` texts at a time; null for null.
+
+    A text over EMBED_CHARS characters is cut into pieces of that size; its vector is the mean of theirs, weighted by length.
 
     A failure is tried again once, then fails the job: no row is ever stored without its vector.
     """
@@ -47,17 +49,18 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", column: str =
         for f in frames:
             found: list = [None] * len(f)
             at = [i for i, t in enumerate(f[text]) if isinstance(t, str)]
-            for a in range(0, len(at), batch):
-                part = at[a : a + batch]
-                texts = [f[text].iloc[i][:EMBED_CHARS] for i in part]
+            pieces = [(i, t[k : k + EMBED_CHARS]) for i in at for t in (f[text].iloc[i],) for k in range(0, max(len(t), 1), EMBED_CHARS)]
+            for a in range(0, len(pieces), batch):
+                texts = [t for _, t in pieces[a : a + batch]]
                 try:
                     got = embedder(texts)
                 except Exception:  # noqa: BLE001
                     got = embedder(texts)
                 if len(got) != len(texts):
                     raise RuntimeError(f"{len(got)} vectors for {len(texts)} texts")
-                for i, v in zip(part, got):
-                    found[i] = v
+                for (i, t), v in zip(pieces[a : a + batch], got):
+                    found[i] = [*(found[i] or []), (max(len(t), 1), v)]
+            found = [None if x is None else x[0][1] if len(x) == 1 else np.average([v for _, v in x], axis=0, weights=[n for n, _ in x]).tolist() for x in found]
             yield f.assign(**{column: found})[schema.names]
 
     return rows.mapInPandas(run, schema)

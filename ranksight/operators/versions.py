@@ -5,10 +5,15 @@ A commit writes new data files and, for superseded rows, a deletion vector (file
 two versions is read from the manifests between them alone: rows of added files are inserts, rows of new deletion
 vectors are deletes. A manifest carries properties, in which a consumer keeps the version of its source that the commit
 has processed: output and progress are published by one file, so a run that dies leaves neither.
+
+Every ``CHECKPOINT`` versions a commit also writes the folders that are live, so a reader opens a bounded number of
+manifests. Publishing a manifest relies on a rename that refuses an existing name, as HDFS and local file systems have it;
+object stores need a file system layer that offers it. A ``Store`` keeps several tables under one line of manifests.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Callable
@@ -18,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranksight.runtime import materialize
+
 
 class Folder:
     """A folder of the file system that all executors share, through Hadoop's file system interface."""
@@ -50,8 +57,8 @@ class Folder:
             self._fs.delete(draft, False)
             raise FileExistsError(f"{name} has been committed by another writer")
 
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._at(name), False)
+    def delete(self, name: str, recursive: bool = False) -> None:
+        self._fs.delete(self._at(name), recursive)
 
     def text(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
@@ -61,6 +68,10 @@ class Folder:
             stream.close()
 
 
+#: Versions between two lists of what is live.
+CHECKPOINT = 32
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int
@@ -70,30 +81,62 @@ class Manifest:
     properties: dict[str, str] = field(default_factory=dict)
 
 
+@dataclass
+class State:
+    """What a version consists of: live data folders, deletion vectors, and the newest value of every property."""
+
+    added: list[str] = field(default_factory=list)
+    vectors: list[str] = field(default_factory=list)
+    properties: dict[str, str] = field(default_factory=dict)
+
+    def after(self, m: Manifest) -> State:
+        gone = set(m.removed)
+        return State([x for x in [*self.added, *m.added] if x not in gone], [*self.vectors, *m.vectors], {**self.properties, **m.properties})
+
+
 class VersionedTable:
-    """A table at ``path`` with a fixed schema. Version 0 is the empty table."""
+    """A table at ``path`` with a fixed schema. Version 0 is the empty table.
+
+    A member of a ``Store`` has its data below its own ``path`` and its part of the manifests in the store's folder.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, store: str | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        self.folder = Folder(spark, self.path)
+        self.folder = Folder(spark, store or self.path)
+        self.part = self.path.rsplit("/", 1)[1] if store else None
 
     def version(self) -> int:
         found = [int(n[:-5]) for n in self.folder.names("manifests") if n.endswith(".json")]
         return max(found, default=0)
 
     def manifest(self, version: int) -> Manifest:
-        return Manifest(**json.loads(self.folder.text(f"manifests/{version:020d}.json"))) if version else Manifest(0)
+        if not version:
+            return Manifest(0)
+        d = json.loads(self.folder.text(f"manifests/{version:020d}.json"))
+        return Manifest(version, **d["tables"].get(self.part, {}), properties=d["properties"]) if self.part else Manifest(**d)
 
     def manifests(self, after: int, upto: int) -> list[Manifest]:
         return [self.manifest(v) for v in range(after + 1, upto + 1)]
 
-    def commit(self, added: DataFrame | None = None, deleted: DataFrame | None = None, removed: list[str] | None = None, properties: dict[str, str] | None = None, base: int | None = None) -> int:
-        """Publish the next version. ``deleted`` holds (_file, _row) of rows, ``removed`` whole data folders.
-
-        ``base`` is the version the change was computed from; a commit made since then makes this one fail.
-        """
-        base = self.version() if base is None else base
+    def state(self, version: int) -> State:
+        """The newest checkpoint up to a version and the manifests behind it."""
+        sub = f"checkpoints/{self.part}" if self.part else "checkpoints"
+        known = [v for v in (int(n[:-5]) for n in self.folder.names(sub)) if v <= version]
+        at, state = max(known, default=0), State()
+        if at:
+            state = State(**json.loads(self.folder.text(f"{sub}/{at:020d}.json")))
+        for m in self.manifests(at, version):
+            state = state.after(m)
+        return state
+
+    def checkpoint(self, version: int) -> None:
+        sub = f"checkpoints/{self.part}" if self.part else "checkpoints"
+        with contextlib.suppress(FileExistsError):
+            self.folder.create(f"{sub}/{version:020d}.json", json.dumps(self.state(version).__dict__))
+
+    def write(self, added: DataFrame | None = None, deleted: DataFrame | None = None, removed: list[str] | None = None) -> dict[str, list[str]]:
+        """The files of a change, which nothing shows yet: what a manifest says of it."""
         new, vectors = [], []
         if added is not None:
             new = [f"data/{uuid.uuid4().hex}"]
@@ -101,10 +144,31 @@ class VersionedTable:
         if deleted is not None:
             vectors = [f"vectors/{uuid.uuid4().hex}"]
             deleted.select("_file", "_row").write.parquet(f"{self.path}/{vectors[0]}")
-        m = Manifest(base + 1, new, removed or [], vectors, properties or {})
+        return {"added": new, "removed": removed or [], "vectors": vectors}
+
+    def commit(self, added: DataFrame | None = None, deleted: DataFrame | None = None, removed: list[str] | None = None, properties: dict[str, str] | None = None, base: int | None = None) -> int:
+        """Publish the next version. ``deleted`` holds (_file, _row) of rows, ``removed`` whole data folders.
+
+        ``base`` is the version the change was computed from; a commit made since then makes this one fail.
+        """
+        if self.part:
+            raise ValueError("a member of a store is committed by the store")
+        base = self.version() if base is None else base
+        m = Manifest(base + 1, **self.write(added, deleted, removed), properties=properties or {})
         self.folder.create(f"manifests/{m.version:020d}.json", json.dumps(m.__dict__))
+        if m.version % CHECKPOINT == 0:
+            self.checkpoint(m.version)
         return m.version
 
+    def drop_dead(self, keep: int) -> int:
+        """Delete the data folders that no version from ``keep`` on has; older versions can't be read afterwards."""
+        live = set(self.state(keep).added)
+        dead = [x for m in self.manifests(0, keep) for x in m.removed if x not in live]
+        data = Folder(self.spark, self.path)
+        for x in dead:
+            data.delete(x, True)
+        return len(dead)
+
     def _read(self, folders: list[str]) -> DataFrame:
         """Rows of data folders with ``_file`` (below the table) and ``_row``."""
         if not folders:
@@ -121,10 +185,8 @@ class VersionedTable:
 
     def snapshot(self, version: int | None = None, positions: bool = False) -> DataFrame:
         """The rows of a version (the newest by default), with ``positions`` also ``_file`` and ``_row``."""
-        log = self.manifests(0, self.version() if version is None else version)
-        gone = {x for m in log for x in m.removed}
-        live = [x for m in log for x in m.added if x not in gone]
-        vectors = [x for m in log for x in m.vectors]
+        state = self.state(self.version() if version is None else version)
+        live, vectors = state.added, state.vectors
         rows = self._read(live)
         if vectors:
             rows = rows.join(self._vectors(vectors), ["_file", "_row"], "left_anti")
@@ -141,36 +203,65 @@ class VersionedTable:
         added = [x for m in between for x in m.added]
         vectors = self._vectors([x for m in between for x in m.vectors])
         inserts = self._read([x for x in added if x not in removed]).join(vectors, ["_file", "_row"], "left_anti")
-        before = [x for m in self.manifests(0, after) for x in m.added]
+        old = self.state(after)
+        before = old.added
         touched = [x for x in before if x in removed]
         deletes = self._read(touched)
         if any(m.vectors for m in between):  # rows of older files that the new vectors cover
             kept = [x for x in before if x not in removed]
             deletes = deletes.unionByName(self._read(kept).join(vectors, ["_file", "_row"], "left_semi"))
-        earlier = [x for m in self.manifests(0, after) for x in m.vectors]
-        if earlier:
-            deletes = deletes.join(self._vectors(earlier), ["_file", "_row"], "left_anti")
+        if old.vectors:
+            deletes = deletes.join(self._vectors(old.vectors), ["_file", "_row"], "left_anti")
         names = self.schema.names
         return inserts.select(*names, F.lit("insert").alias("change")).unionByName(deletes.select(*names, F.lit("delete").alias("change")))
 
     def processed(self, consumer: str) -> int:
         """The source version that this table's commits have processed for a consumer; 0 before the first."""
-        for v in range(self.version(), 0, -1):
-            done = self.manifest(v).properties.get(f"processed:{consumer}")
-            if done is not None:
-                return int(done)
-        return 0
+        return int(self.state(self.version()).properties.get(f"processed:{consumer}", 0))
 
-    def merge(self, marks: DataFrame, key: list[str], properties: dict[str, str] | None = None) -> int:
+    def merge(self, marks: DataFrame, key: list[str], properties: dict[str, str] | None = None, whole: bool = False) -> int:
         """Bring the table to ``marks`` (one row per key) where they differ: a vector for the superseded rows, files for
-        new and changed ones. Keys that ``marks`` doesn't name stay as they are."""
+        new and changed ones. Keys that ``marks`` doesn't name stay as they are, or go if ``marks`` is the ``whole`` table.
+
+        Where nothing differs and no property is set, no version is made. Returns the version that holds the marks.
+        """
         base = self.version()
         values = [c for c in self.schema.names if c not in key]
         old = self.snapshot(base, positions=True).select(*key, F.struct(*values).alias("_old"), "_file", "_row", F.lit(True).alias("_held"))
-        both = marks.select(*key, F.struct(*values).alias("_new")).join(old, key, "left")
-        changed = both.where(F.col("_held").isNull() | ~F.col("_new").eqNullSafe(F.col("_old")))
+        new = marks.select(*key, F.struct(*values).alias("_new"), F.lit(True).alias("_named"))
+        both = new.join(old, key, "full" if whole else "left")
+        differs = F.col("_held").isNull() | F.col("_named").isNull() | ~F.col("_new").eqNullSafe(F.col("_old"))
+        changed = materialize(both.where(differs), "changed_marks")
+        if not properties and changed.isEmpty():
+            return base
         stale = changed.where("_held").select("_file", "_row")
-        return self.commit(changed.select(*key, "_new.*"), stale, properties=properties, base=base)
+        return self.commit(changed.where("_named").select(*key, "_new.*"), stale, properties=properties, base=base)
+
+
+class Store:
+    """Tables below ``path`` that change together: one manifest names the changes of all of them, so a reader never sees
+    the new rows of one beside the old rows of another."""
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]) -> None:
+        self.path = path.rstrip("/")
+        self.tables = {n: VersionedTable(spark, f"{self.path}/{n}", s, self.path) for n, s in schemas.items()}
+        self.folder = Folder(spark, self.path)
+
+    def __getitem__(self, name: str) -> VersionedTable:
+        return self.tables[name]
+
+    def version(self) -> int:
+        return next(iter(self.tables.values())).version()
+
+    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]], properties: dict[str, str] | None = None, base: int | None = None) -> int:
+        """Publish (added, deleted) rows of some tables as the next version of all."""
+        base = self.version() if base is None else base
+        parts = {n: self.tables[n].write(added, deleted) for n, (added, deleted) in changes.items()}
+        self.folder.create(f"manifests/{base + 1:020d}.json", json.dumps({"tables": parts, "properties": properties or {}}))
+        if (base + 1) % CHECKPOINT == 0:
+            for t in self.tables.values():
+                t.checkpoint(base + 1)
+        return base + 1
 
 
 def process_new(source: VersionedTable, target: VersionedTable, consumer: str, step: Callable[[DataFrame], DataFrame]) -> int | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,28 +12,65 @@ from pyspark.sql import functions as F
 from ranksight.operators import incremental, lifecycle
 from ranksight.operators.versions import VersionedTable
 from ranksight.plans.catalogue import query
-from ranksight.runtime import load, shared_dir
+from ranksight.runtime import load, materialize, shared_dir, table_dir
 
 
-@query(
-    r"""
-WITH rows AS (
+def _due_sql(until: str = "2999-01-01") -> str:
+    """Items that are due by what was loaded, indexed and started before a time."""
+    return rf"""
+WITH runs AS (SELECT * FROM index_runs WHERE started_at < TIMESTAMP '{until}'),
+rows AS (
   SELECT 'file' AS item_kind, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS item_key, lower(substring(content_hash, 1, 16)) AS mark, indexed_at FROM files
   UNION ALL SELECT 'source', source_key, fingerprint, indexed_at FROM sources),
 valid AS (
-  SELECT r.* FROM rows r WHERE indexed_at IS NOT NULL AND item_key IS NOT NULL AND
-    (SELECT arg_max(coalesce(outcome, ''), (started_at, run_id)) FROM index_runs u WHERE u.item_kind = r.item_kind AND u.started_at <= r.indexed_at) = 'ok'),
+  SELECT r.* FROM rows r WHERE indexed_at < TIMESTAMP '{until}' AND item_key IS NOT NULL AND
+    (SELECT arg_max(coalesce(outcome, ''), (started_at, run_id)) FROM runs u WHERE u.item_kind = r.item_kind AND u.started_at <= r.indexed_at) = 'ok'),
 held AS (SELECT item_kind, item_key, mark FROM valid QUALIFY row_number() OVER (PARTITION BY item_kind, item_key ORDER BY indexed_at DESC, mark DESC) = 1),
 log AS (
   SELECT item_kind, CASE WHEN item_kind = 'file' THEN regexp_replace(replace(item_key, '\', '/'), '^(\./)+', '') ELSE item_key END AS item_key,
          CASE WHEN item_kind = 'file' THEN lower(substring(seen_mark, 1, 16)) ELSE seen_mark END AS mark, seen_at
-  FROM scan_log WHERE item_key IS NOT NULL AND item_kind IS NOT NULL),
+  FROM scan_log WHERE item_key IS NOT NULL AND item_kind IS NOT NULL AND coalesce(loaded_at, TIMESTAMP '1970-01-01') < TIMESTAMP '{until}'),
 seen AS (SELECT item_kind, item_key, mark FROM log QUALIFY row_number() OVER (PARTITION BY item_kind, item_key ORDER BY mark IS NULL, seen_at DESC NULLS LAST, mark DESC) = 1)
 SELECT s.item_kind, s.item_key FROM seen s LEFT JOIN held h ON h.item_kind = s.item_kind AND h.item_key = s.item_key
 WHERE h.item_key IS NULL OR (s.mark IS NOT NULL AND s.mark IS DISTINCT FROM h.mark)"""
-)
+
+
+def _marks(spark: SparkSession, sf_dir: str, until: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(present marks, index marks) by what was loaded, indexed and started before a time."""
+    log, files, sources, runs = (load(spark, sf_dir, t) for t in ("scan_log", "files", "sources", "index_runs"))
+    if until:
+        at = f"< timestamp_ntz'{until}'"
+        log = log.where(f"loaded_at is null or loaded_at {at}")
+        files, sources, runs = files.where(f"indexed_at {at}"), sources.where(f"indexed_at {at}"), runs.where(f"started_at {at}")
+    return incremental.present_marks(log), incremental.index_marks(files, sources, runs)
+
+
+@query(_due_sql())
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.items_to_index(*(load(spark, sf_dir, t) for t in ("scan_log", "files", "sources", "index_runs")))
+    """The plan of a data folder stays in the shared folder: a later call writes and judges what has changed since."""
+    folder = f"{shared_dir(spark)}/index-plan/{hashlib.sha256(os.path.abspath(sf_dir).encode()).hexdigest()[:16]}"
+    return incremental.items_to_index(*(load(spark, sf_dir, t) for t in ("scan_log", "files", "sources", "index_runs")), path=folder)
+
+
+@query(f"SELECT 1 AS round, item_kind, item_key FROM ({_due_sql('2026-03-12')}) UNION ALL SELECT 3, item_kind, item_key FROM ({_due_sql()})")
+def p5_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs on one plan: as of 12 March; as of 20 March, a run that dies before its output is committed; and now."""
+    folder = f"{table_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def run(until: str | None, dies: bool = False) -> DataFrame | None:
+        plan = incremental.IndexPlan(spark, folder)  # a new process each time
+        seen, held = _marks(spark, sf_dir, until)
+        plan.see(seen)
+        plan.hold(held)
+        if dies:
+            plan.waiting.write(seen)  # files without a manifest
+            return None
+        return plan.due()
+
+    first = materialize(run("2026-03-12"), "first_round")
+    run("2026-03-20", dies=True)
+    last = run(None)
+    return first.select(F.lit(1).alias("round"), "*").unionByName(last.select(F.lit(3).alias("round"), "*"))
 
 
 _FILES = r"SELECT regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS path, max(struct_pack(at := indexed_at, mark := lower(substring(content_hash, 1, 16)))) AS last FROM files WHERE path IS NOT NULL"
@@ -75,7 +114,12 @@ def budget_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.soft_budget(docs, "n_chars", [F.desc_nulls_last("updated_at"), F.col("doc_id")], 200_000).select("doc_id", "n_chars")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, doc_id) AS i FROM documents),
+fit AS (SELECT i, doc_id, n_chars, 20000 - n_chars AS rest, true AS taken FROM o WHERE i = 1
+  UNION ALL SELECT o.i, o.doc_id, o.n_chars, CASE WHEN o.n_chars <= rest THEN rest - o.n_chars ELSE rest END, o.n_chars <= rest AND rest > 0 FROM fit JOIN o ON o.i = fit.i + 1)
+SELECT doc_id, n_chars FROM fit WHERE taken"""
+)
 def budget_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars", "updated_at")
     return lifecycle.hard_budget(docs, "n_chars", [F.desc_nulls_last("updated_at"), F.col("doc_id")], 20_000).select("doc_id", "n_chars")
@@ -86,7 +130,7 @@ def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live rows of a versioned table after a commit that dropped the chunks without a heading."""
     chunks = load(spark, sf_dir, "chunks")
     rows = chunks.where("content_hash is not null").select("chunk_id", "content_hash").distinct()
-    table = VersionedTable(spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", "chunk_id bigint, content_hash string")
+    table = VersionedTable(spark, f"{table_dir(spark)}/chunks-{uuid.uuid4().hex}", "chunk_id bigint, content_hash string")
     table.commit(rows)
     lifecycle.replace_chunks(table, chunks.where("length(trim(coalesce(heading, ''))) = 0"), rows.limit(0), ["chunk_id"])
     return table.snapshot()

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_TABLE_FOLDERS: set[str] = set()
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ranksight") -> SparkSession:
@@ -56,11 +60,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, laptops) a temporary folder of this machine is used.
+    Where none is named a temporary folder of this machine is used, but only by a local session; on a cluster other
+    machines could not read it, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="ranksight-")
@@ -68,6 +75,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def table_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; removed when the program ends, or by ``remove_tables``."""
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _TABLE_FOLDERS:
+        _TABLE_FOLDERS.add(folder)
+        atexit.register(_remove, spark.sparkContext, folder)
+    return folder
+
+
+def _remove(sc: SparkContext, folder: str) -> None:
+    """Best effort: a program that is killed leaves its folder, named after the application."""
+    with contextlib.suppress(Exception):
+        jvm = sc._gateway.jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables now; results that have not been written yet can't be read afterwards."""
+    _remove(spark.sparkContext, table_dir(spark))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
@@ -75,7 +104,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{table_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -100,7 +129,27 @@ def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its source has splits for less than half of them, as one small file has; else unchanged."""
-    ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    """``df`` over all cores if the files it reads have splits for less than half of them, as one small file has; else
+    unchanged. Only file sizes are looked at; nothing is run."""
+    spark = df.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if 2 * len(files) > cores:
+        return df
+    sizes = [file_status(spark, f)[0] for f in files]
+    most = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    split = min(most, max(4 << 20, sum(sizes) // cores))
+    return df.repartition(cores) if 2 * sum(-(-n // split) for n in sizes) <= cores else df
+
+
+def file_status(spark: SparkSession, uri: str) -> tuple[int, int]:
+    """(bytes, time of the last change) of a file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return status.getLen(), status.getModificationTime()
+
+
+def _bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", setting.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksight.functions.text import clean, epoch_seconds, is_junk, is_synthetic, iso_seconds
+from ranksight.runtime import materialize
 from ranksight.settings import SessionLimits
 
 MESSAGE = ("src_path", "line_no", "sub", "role", "ts", "text")
@@ -18,12 +19,19 @@ _BLOCK = "struct<type: string, text: string, name: string>"
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(src_path, line_no, line, fingerprint) of all matching files below a folder; the fingerprint is ``mtime_ns|size``."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    """(src_path, line_no, line, fingerprint) of all matching files below a folder; the fingerprint is ``mtime_ns|size``.
+
+    A large log is read in splits. A line's number is its place in its split plus the lines of the splits before.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
     meta = F.col("_metadata")
     mark = F.concat_ws("|", F.unix_micros(meta["file_modification_time"]) * 1000, meta["file_size"])
-    named = files.select(F.regexp_replace(meta["file_path"], r"^file:(?://)?", "").alias("src_path"), mark.alias("fingerprint"), "value")
-    return named.select("src_path", "fingerprint", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    named = files.select(F.regexp_replace(meta["file_path"], r"^file:(?://)?", "").alias("src_path"), mark.alias("fingerprint"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    rows = materialize(named, "log_lines")  # numbers given while reading must not be given anew
+    splits = rows.groupBy("src_path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(splits.select("src_path", "split", (before - F.col("first")).alias("shift")), ["src_path", "split"])
+    return numbered.select("src_path", "fingerprint", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def _records(lines: DataFrame, schema: str) -> DataFrame:
@@ -108,15 +116,29 @@ def claude_sessions(lines: DataFrame) -> DataFrame:
     return by.select("src_path", F.coalesce("sid", stem).alias("session_id"), "title", "work_dir", F.least("t0", "t1").alias("first_ts"), F.greatest("t0", "t1").alias("last_ts"))
 
 
-def history(rows: DataFrame, src_path: str) -> tuple[DataFrame, DataFrame]:
+def history_registry(rows: DataFrame) -> DataFrame:
+    """(source_key, agent, src_path, fingerprint) of a prompt history: every session is a source, marked by its last id and its rows."""
+    key, src = F.concat_ws("::", F.lit("omp"), _history_session()), F.col("src_path") if "src_path" in rows.columns else F.lit(None).cast("string")
+    by = rows.select(key.alias("source_key"), src.alias("src_path"), "id").groupBy("source_key").agg(F.min("src_path").alias("src_path"), F.max("id").alias("last"), F.count("*").alias("n"))
+    return by.select("source_key", F.lit("omp").alias("agent"), "src_path", F.concat_ws("|", "last", "n").alias("fingerprint"))
+
+
+def _history_session() -> Column:
+    return F.coalesce(F.nullif("session_id", F.lit("")), F.lit("?"))
+
+
+def history(rows: DataFrame, src_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(messages, sessions) of a prompt history (id, session_id, prompt, created_at, cwd), e.g. read over JDBC.
 
     Rows without a session belong to ``?``; junk prompts are dropped; one source ``omp::session`` for each session.
+    ``src_path`` names the history where its rows don't.
     """
-    r = rows.select(F.col("id").alias("line_no"), F.coalesce(F.nullif("session_id", F.lit("")), F.lit("?")).alias("session_id"), clean(F.coalesce("prompt", F.lit(""))).alias("text"), epoch_seconds(F.col("created_at").cast("string")).alias("ts"), "cwd")
-    messages = r.where(~is_junk(F.col("text"))).select(F.lit(src_path).alias("src_path"), "session_id", "line_no", F.lit(0).alias("sub"), F.lit("user").alias("role"), "ts", "text")
-    sessions = r.groupBy("session_id").agg(F.min_by("cwd", "line_no").alias("work_dir"), F.min(F.nullif("ts", F.lit(0.0))).alias("first_ts"), F.max(F.nullif("ts", F.lit(0.0))).alias("last_ts"), F.sum((~is_junk(F.col("text"))).cast("int")).alias("msg_count"))
-    return messages, sessions.select(F.lit("omp").alias("agent"), "session_id", F.lit(src_path).alias("src_path"), F.lit(None).cast("string").alias("title"), "work_dir", "first_ts", "last_ts", "msg_count", F.lit("main").alias("role"))
+    src = F.col("src_path") if src_path is None and "src_path" in rows.columns else F.lit(src_path).cast("string")
+    r = rows.select(F.col("id").cast("long").alias("line_no"), src.alias("src_path"), _history_session().alias("session_id"), clean(F.coalesce("prompt", F.lit(""))).alias("text"), epoch_seconds(F.col("created_at").cast("string")).alias("ts"), "cwd")
+    r = r.withColumn("source_key", F.concat_ws("::", F.lit("omp"), "session_id"))
+    messages = r.where(~is_junk(F.col("text"))).select("source_key", "src_path", "session_id", "line_no", F.lit(0).alias("sub"), F.lit("user").alias("role"), "ts", "text")
+    sessions = r.groupBy("source_key", "session_id").agg(F.min("src_path").alias("src_path"), F.min_by("cwd", "line_no").alias("work_dir"), F.min(F.nullif("ts", F.lit(0.0))).alias("first_ts"), F.max(F.nullif("ts", F.lit(0.0))).alias("last_ts"), F.sum((~is_junk(F.col("text"))).cast("int")).alias("msg_count"))
+    return messages, sessions.select("source_key", F.lit("omp").alias("agent"), "session_id", "src_path", F.lit(None).cast("string").alias("title"), "work_dir", "first_ts", "last_ts", "msg_count", F.lit("main").alias("role"))
 
 
 def path_sessions(agent: str, sources: DataFrame, states: DataFrame | None = None, workdirs: DataFrame | None = None) -> DataFrame:
@@ -144,11 +166,13 @@ def path_sessions(agent: str, sources: DataFrame, states: DataFrame | None = Non
 
 
 def session_rows(agent: str, messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per source: its session with message count; times from the messages where the log names none."""
-    spoken = messages.groupBy("src_path").agg(F.min(F.nullif("ts", F.lit(0.0))).alias("t0"), F.max(F.nullif("ts", F.lit(0.0))).alias("t1"), F.count("*").alias("msg_count"))
+    """One row per source (``source_key``, or ``src_path`` where there is none): its session with message count; times from the messages where the log names none."""
+    key = "source_key" if "source_key" in messages.columns and "source_key" in sessions.columns else "src_path"
+    spoken = messages.groupBy(key).agg(F.min(F.nullif("ts", F.lit(0.0))).alias("t0"), F.max(F.nullif("ts", F.lit(0.0))).alias("t1"), F.count("*").alias("said"))
     s = sessions if "role" in sessions.columns else sessions.withColumn("role", F.lit("main"))
-    j = s.join(spoken, "src_path", "left")
-    return j.select(F.lit(agent).alias("agent"), "session_id", "src_path", "title", "work_dir", F.coalesce("first_ts", "t0").alias("first_ts"), F.coalesce("t1", "last_ts").alias("last_ts"), F.coalesce("msg_count", F.lit(0)).alias("msg_count"), "role")
+    j = s.join(spoken, key, "left")
+    own = [key] if key != "src_path" else []
+    return j.select(*own, F.lit(agent).alias("agent"), "session_id", "src_path", "title", "work_dir", F.coalesce("first_ts", "t0").alias("first_ts"), F.coalesce("t1", "last_ts").alias("last_ts"), F.coalesce("said", F.lit(0)).alias("msg_count"), "role")
 
 
 def window_chunks(messages: DataFrame, keys: list[str], order: list[str], text: str = "text", limits: SessionLimits = SessionLimits()) -> DataFrame:

@@ -79,7 +79,9 @@ def test_tree_and_lint(spark, tmp_path):
     assert kb.index(str(tmp_path))["removed"] == 1
     assert kb.search("plum", mode="keyword", plane="all").first().path == "a/SKILL.md" and kb.search("apple", mode="keyword", plane="all").count() == 0
     assert kb.status(str(tmp_path)).first()["same"] == 4
-    assert kb.reindex(str(tmp_path)).search("plum", mode="keyword", plane="all").count() == 1
+    kb.reindex(str(tmp_path))  # another object on the same path sees the rebuilt index
+    again = api.KnowledgeBase(spark, str(tmp_path / ".kb"))
+    assert again.store.path != str(tmp_path / ".kb") and again.search("plum", mode="keyword", plane="all").count() == 1
     pr = api.ProjectIndex(spark, str(tmp_path / ".pr"))
     pr.index(str(tmp_path), budget=2)
     pr.index(str(tmp_path))
@@ -155,11 +157,36 @@ def test_claude_and_chunks(spark, tmp_path):
     hit = ix.search("texts", mode="keyword", agent="claude", work_dir="/W").orderBy("rank").first()
     assert (hit.session_id, hit.title[:4]) == ("s", "long")
     assert ix.search("texts", mode="keyword", since="2030-01-01").count() == 0
-    assert ix.list("claude").count() == 1 and [r.ord for r in ix.tail("s", 2).collect()] == [1, 2]
+    assert ix.list("claude").count() == 1 and [r.text[:9] for r in ix.tail("s", 2).collect()] == ["long text"]
     ix.index("claude", log.limit(0))
     assert ix.chunks.snapshot().count() == 0
 
 
+def test_log_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f"line {i} of the log\n" for i in range(400)))
+    (tmp_path / "b.jsonl").write_text("only\r\n\nlast")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        got = [(r.src_path[-7:], r.line_no, r.line) for r in sessions.read_lines(spark, str(tmp_path)).orderBy("src_path", "line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("a.jsonl", i, f"line {i} of the log") for i in range(400)] + [("b.jsonl", i, x) for i, x in enumerate(["only\r", "", "last"])]
+
+
+def test_history_sessions(spark, tmp_path):
+    """Each session of the fourth agent is a source of its own."""
+    long = "a prompt that is long enough to stay in the index"
+    schema = "id int, session_id string, prompt string, created_at long, cwd string"
+    rows = spark.createDataFrame([(1, None, long, 1700000000, "/a"), (2, "s", "tiny", 1700000001, "/b"), (3, "s", long + " too", 1700000002, "/c")], schema)
+    ix = api.SessionIndex(spark, str(tmp_path / "h"))
+    ix.index("omp", rows)
+    assert [(r.source_key, r.chunk_count) for r in ix.sources.snapshot().orderBy("source_key").collect()] == [("omp::?", 1), ("omp::s", 1)]
+    before = ix.store.version()
+    assert ix.index("omp", rows) == 0 and ix.store.version() == before
+    ix.index("omp", rows.unionByName(spark.createDataFrame([(4, "s", long + " once more", 1700000009, "/c")], schema)))
+    assert ix.search("prompts", mode="keyword").count() == 3 and [r.line_no for r in ix.tail("s").collect()] == [3, 4]
+
+
 def test_windows(spark):
     sizes = [1500, 1600, 2700, 2610]
     m = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)] + [(9, None), (10, "short")], "i int, text string")

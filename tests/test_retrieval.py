@@ -59,7 +59,7 @@ def test_bm25_edges(spark, index):
 
 
 def test_index_round_trip(spark, index, tmp_path):
-    index.save(str(tmp_path), 2)
+    index.save(str(tmp_path))
     again = B.InvertedIndex.load(spark, str(tmp_path))
     a, b = (sorted((r.id, r.score) for r in B.bm25(x, ask(spark, "run vector"), None).collect()) for x in (index, again))
     assert a == b

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ranksight.operators import incremental, lifecycle
 from ranksight.operators.components import connected_components
-from ranksight.operators.versions import VersionedTable, process_new
+from ranksight.operators import versions
+from ranksight.operators.versions import Store, VersionedTable, process_new
 from ranksight.streaming.incremental import index_available
 
 
@@ -32,6 +33,30 @@ def test_versions(spark, tmp_path):
     assert t.changes(3, 3).count() == 0
 
 
+def test_checkpoints_and_dead_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "CHECKPOINT", 2)
+    t = VersionedTable(spark, str(tmp_path / "t"), "k int")
+    mk = lambda *r: spark.createDataFrame([(x,) for x in r], "k int")
+    for i in range(5):
+        t.commit(mk(i), removed=t.manifest(i).added if i == 2 else None, properties={"processed:c": str(i)} if i == 3 else None)
+    assert t.folder.names("checkpoints") == [f"{v:020d}.json" for v in (2, 4)]
+    assert rows(t.snapshot()) == [(0,), (2,), (3,), (4,)] and rows(t.snapshot(2)) == [(0,), (1,)] and t.processed("c") == 3
+    assert rows(t.changes(2, 5)) == [(1, "delete"), (2, "insert"), (3, "insert"), (4, "insert")]
+    assert t.drop_dead(5) == 1 and t.snapshot().count() == 4
+    assert t.merge(mk(0, 2, 3, 4), ["k"], whole=True) == 5 and t.merge(mk(0, 9), ["k"], whole=True) == 6 and rows(t.snapshot()) == [(0,), (9,)]
+
+
+def test_store_changes_tables_together(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), {"a": "k int", "b": "k int"})
+    mk = lambda *r: spark.createDataFrame([(x,) for x in r], "k int")
+    s.commit({"a": (mk(1), None), "b": (mk(2, 3), None)})
+    s["a"].write(mk(7))  # a run that died before its manifest
+    s.commit({"b": (mk(4), s["b"].snapshot(positions=True).where("k = 2").select("_file", "_row"))})
+    assert rows(s["a"].snapshot()) == [(1,)] and rows(s["b"].snapshot()) == [(3,), (4,)] and rows(s["b"].snapshot(1)) == [(2,), (3,)]
+    with pytest.raises(FileExistsError):
+        s.commit({"a": (mk(1), None)}, base=1)
+
+
 def test_two_writers(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"), "k string")
     one = spark.createDataFrame([("a",)], "k string")
@@ -87,6 +112,31 @@ def test_incremental_cases(spark):
     assert due(spark, []) == set() and due(spark, [("file", "a", h, 1)]) == {("file", "a")}
 
 
+def test_plan_over_runs(spark, tmp_path, monkeypatch):
+    """Nothing is lost by a second run, a crash between commits, or an item that changes, goes and comes back."""
+    marks = lambda **m: spark.createDataFrame(list(m.items()), "item_key string, mark string").select(F.lit("file").alias("item_kind"), "item_key", "mark")
+
+    def run(seen, held, dies=False):
+        plan = incremental.IndexPlan(spark, str(tmp_path / "plan"))
+        plan.hold(marks(**held))
+        plan.see(marks(**seen))
+        if dies:
+            with monkeypatch.context() as m:
+                m.setattr(plan.waiting.folder, "create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError, match="lost"):
+                    plan.due()
+            return None
+        return sorted(r.item_key for r in plan.due().collect()), plan.waiting.version()
+
+    assert run({"a": "1", "b": "2", "c": "3", "d": None}, {"a": "1", "b": "1"}) == (["b", "c", "d"], 1)
+    assert run({"a": "1", "b": "2", "c": "3", "d": None}, {"a": "1", "b": "1"}) == (["b", "c", "d"], 1)  # nothing new, no version
+    run({"a": "9", "b": "2", "c": "3"}, {"a": "1", "b": "2"}, dies=True)
+    assert run({"a": "9", "b": "2", "c": "3"}, {"a": "1", "b": "2"}) == (["a", "c"], 2)
+    assert run({"b": "2", "c": "3"}, {"a": "1", "b": "2"}) == (["c"], 3)  # a is gone
+    assert run({"a": "1", "b": "2", "c": "3"}, {"a": "1", "b": "2", "c": "3"}) == ([], 4)  # back with its old mark
+    assert run({"a": "1", "b": "2", "c": "3"}, {"b": "2", "c": "3"}) == (["a"], 5)
+
+
 def test_diff_and_freshness(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None)], "p string, m string")
     b = spark.createDataFrame([("x", "1"), ("y", "3"), ("w", "1"), ("z", None)], "p string, m string")
@@ -96,7 +146,7 @@ def test_diff_and_freshness(spark):
 
 
 @given(st.lists(st.integers(0, 9), max_size=25), st.integers(0, 30))
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 def test_budgets(spark, sizes, budget):
     items = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i int, n int")
     soft, left, hard, before = [], budget, [], 0
