@@ -8,13 +8,17 @@ A query term of several index terms (``a_b``) is a phrase: its tf counts places
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranksight.functions.text import query_words, terms
-from ranksight.runtime import broadcast_if_small, materialize, spread
+from ranksight.runtime import broadcast_if_small, materialize, parallelism, spread
 from ranksight.settings import BM25_B, BM25_K1, IDF_FLOOR
 
 
@@ -121,13 +125,85 @@ def bm25(index: InvertedIndex, wanted: DataFrame, k: int | None, allowed: DataFr
     raw = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    occurrences = broadcast_if_small(wanted.groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    scored = rows.select("id", "term", part.alias("part")).join(occurrences, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), 10).alias("score"))
+    parts = rows.select("id", "term", part.alias("part"))
+    occurrences = wanted.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = occurrences.limit(BATCH_TERMS[1] + 1).toArrow() if k is not None and not inverse else None  # an inverse order can't be cut by score
+    if asked is not None and BATCH_TERMS[0] <= asked.num_rows <= BATCH_TERMS[1]:
+        scored = _batch_scores(parts, asked, max(1, k), wanted.schema["query_id"].dataType.simpleString())
+    else:
+        scored = parts.join(broadcast_if_small(occurrences), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), 10).alias("score"))
     if inverse:
         scored = scored.withColumn("score", 1 / (1 + F.abs("score")))
     return top_k(scored, k)
 
 
+#: From so many query terms on, and up to so many, a batch of queries is scored by blocks of records. It changes the cost only:
+#: a join would make a row of each (query, term, record).
+BATCH_TERMS = (2_000, 1_000_000)
+#: Numbers in the table of scores that a task holds.
+SCORE_CELLS = 4_000_000
+
+
+def _batch_scores(parts: DataFrame, asked: pa.Table, k: int, kind: str) -> DataFrame:
+    """(query_id, id, score): of each block of records its best ``k`` for each query. Records of a block are in the order of
+    their ids, so ties go to the smaller one."""
+    spark = parts.sparkSession
+    queries = pc.unique(asked.column("query_id").combine_chunks())
+    names = pc.unique(asked.column("term").combine_chunks())
+    q, t = (pc.index_in(asked.column(c), value_set=v).to_numpy() for c, v in (("query_id", queries), ("term", names)))
+    o = np.argsort(t, kind="stable")
+    shared = spark.sparkContext.broadcast((queries, names, q[o], asked.column("times").to_numpy()[o].astype(np.float64), np.searchsorted(t[o], np.arange(len(names) + 1))))  # at most BATCH_TERMS[1] terms
+    id_kind = parts.schema["id"].dataType.simpleString()
+
+    def best(ids: pa.Array, term: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of whole records, in the order of ids."""
+        who, _, of, who_times, cut = shared.value
+        runs = pc.run_end_encode(ids)
+        values, ends = runs.values, runs.run_ends.to_numpy()
+        doc = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        for d0 in range(0, len(ends), max(1, SCORE_CELLS // len(who))):
+            d1 = min(len(ends), d0 + max(1, SCORE_CELLS // len(who)))
+            lo, hi = (int(ends[d0 - 1]) if d0 else 0), int(ends[d1 - 1])
+            score, hit = np.zeros((len(who), d1 - d0)), np.zeros((len(who), d1 - d0), bool)
+            by = np.argsort(term[lo:hi], kind="stable") + lo
+            edge = np.flatnonzero(np.r_[True, term[by][1:] != term[by][:-1], True])
+            for a, b in zip(edge[:-1], edge[1:]):
+                x = term[by[a]]
+                rows, cols = of[cut[x] : cut[x + 1]], doc[by[a:b]] - d0
+                at = np.ix_(rows, cols)
+                score[at] += who_times[cut[x] : cut[x + 1], None] * part[by[a:b]]
+                hit[at] = True
+            score = np.where(hit, np.round(score, 10), -np.inf)
+            if score.shape[1] > k:
+                first = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            else:
+                first = np.tile(np.arange(score.shape[1]), (len(who), 1))
+            found = np.take_along_axis(score, first, axis=1)
+            i, j = np.nonzero(np.isfinite(found))
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(i)), values.take(pa.array(first[i, j] + d0)), pa.array(found[i, j])], names=["query_id", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = shared.value[1], None
+        for b in batches:
+            now = pa.table({"id": b.column(0), "term": pc.index_in(b.column(1), value_set=names), "part": b.column(2)})
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows < 200_000:
+                continue
+            ids = held.column("id").combine_chunks()
+            cut = int(pc.run_end_encode(ids).run_ends[-2].as_py()) if len(pc.run_end_encode(ids).run_ends) > 1 else 0
+            if cut:  # the last record may go on
+                yield from flush(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from flush(held)
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        return best(rows.column("id").combine_chunks(), rows.column("term").to_numpy(), rows.column("part").to_numpy())
+
+    n = parallelism(spark)
+    return parts.repartition(n, "id").sortWithinPartitions("id").mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
+
+
 def top_k(hits: DataFrame, k: int | None, query: str = "query_id") -> DataFrame:
     """Hits with ``rank`` from 1 by score (ties: smaller id), of each query at most ``k`` (at least one)."""
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "id")))
