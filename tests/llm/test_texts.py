@@ -290,21 +290,28 @@ def repeated_brute(text, n=5):
 @given(st.lists(st.lists(st.sampled_from("a b c dd e. f|g\n".split(" ") + ["\n", "h_i"]), max_size=60).map(" ".join), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_repetition_against_brute_force(texts):
-    got = repetition.judge([*texts, None, ""], repetition.CleaningRules())
+    got = repetition.judge([*texts, None, ""], repetition.CleaningRules(), np.zeros(0, np.uint64))
     want = [repeated_brute(t) for t in [*texts, None, ""]]
     assert list(zip(got["n_words"].tolist(), got["repeated_words"].tolist())) == want
+    # what lines lose is never less than what repeats, so no repetitive text escapes the rejection
+    assert (got["lost_words"] >= got["repeated_words"]).all()
+    assert [v == "repetition" for v in got["verdict"]] == [n > 0 and 10 * r >= 3 * n for n, r in want]
 
 
 def test_line_rules(spark):
     loop = "one two three four five six\n" * 4
     rows = [
-        (1, loop), (2, "A fine sentence here.\nHome Menu | x\nhome | about | news | more\n-----\nAll rights reserved 2024\n| alpha | beta | gamma |"), (3, None), (4, ""), (5, "***\n!!!"), (6, "Home Menu x y z w v\n" + "next previous"), (6, "a b"),
-        (7, "word " * 100_000),
-    ]
+        (1, loop), (2, "A fine sentence here.\n[Home](/h) | [Menu](/m)\nsee [this page](/p) for more on the subject\nhome | about | news | more\n-----\nALL rights reserved, 2024!\n| alpha | beta | gamma |"), (3, None), (4, ""), (5, "***\n!!!"),
+        (6, "a b"), (6, "a b"), (7, "word " * 100_000), (8, "short but fine\nhttps://a.example/b\n[[one]] [[two]] x"),
+    ] + [(20 + i, f"all rights reserved 2024\ntext number {i} has its own words\nall rights reserved 2024") for i in range(4)] + [(30, "only a\nnote")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"verdict": F.lit("x"), "n_words": F.lit(0)})
     got = {r.doc_id: r for r in repetition.clean_documents(df).collect()}
     assert got[1].verdict == "repetition" and got[1].repeated_words == 18 and got[1].repetition_lines == 3 and got[1].clean_text == "one two three four five six\n"
-    assert got[2].clean_text == "A fine sentence here.\n| alpha | beta | gamma |" and (got[2].navigation_lines, got[2].boilerplate_lines, got[2].punctuation_lines) == (2, 1, 1)
+    assert got[2].clean_text == "A fine sentence here.\nsee [this page](/p) for more on the subject\n| alpha | beta | gamma |"
+    assert (got[2].navigation_lines, got[2].boilerplate_lines, got[2].punctuation_lines, got[2].lost_words, got[2].verdict) == (2, 1, 1, 12, "lines")
+    assert got[8].navigation_lines == 2 and got[8].clean_text == "short but fine"
+    # counted once for a document: five documents hold the line, so it is boilerplate; a line of two words never is
+    assert got[20].boilerplate_lines == 2 and got[20].clean_text == "text number 0 has its own words" and got[6].boilerplate_lines == 0
     assert got[3].clean_text is None and got[3].verdict == got[4].verdict == got[5].verdict == "keep"
     assert got[7].repeated_words == 99_999 and repetition.clean_documents(df).count() == len(rows)
     assert repetition.clean_documents(df.limit(0)).count() == 0
