@@ -1,7 +1,7 @@
 """Evaluation passages in training text: a distributed positional inverted index and rarest-term-first intersection.
 
-The index holds, for blocks of documents, the posting lists (document, position) of every word that occurs in the test
-items, and is stored as a table with one row per block. A passage of an item is looked up from its rarest words: their
+The index holds, for blocks of documents, the posting lists (positions) of every word, and is stored as a table with one
+row per block; it knows nothing of test items, so any number of them can be looked up in it. A passage of an item is looked up from its rarest words: their
 postings, moved back by the word's place in the item, are candidate alignments; the lists of the neighbouring words,
 moved by their own places, are intersected with them, so that only alignments with a long enough run of agreeing words stay.
 """
@@ -24,13 +24,14 @@ from ranksight.runtime import materialize, spread
 class LeakConfig:
     """``words``: least length of a passage. ``slop`` > 0 also reports passages whose words lie near their places:
     at least ``near_share`` of ``words`` words, each within ``slop`` words of it. ``block_words`` bounds an index block,
-    ``query_words`` the test words that are held against the index at a time."""
+    ``query_words`` the test words that are held against the index at a time, ``look_rows`` the candidates of a task."""
 
     words: int = 12
     slop: int = 0
     near_share: float = 0.75
     block_words: int = 1_500_000
     query_words: int = 2_000_000
+    look_rows: int = 2_000_000
 
     @property
     def least(self) -> int:
@@ -87,31 +88,24 @@ def _pack(x: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
-def positional_index(docs: DataFrame, vocabulary: np.ndarray, cfg: LeakConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: one row per block of documents with the posting lists of the words in ``vocabulary``.
+INDEX = "docs binary, starts binary, terms binary, cuts binary, postings binary"
+_KINDS = (np.int64, np.int64, np.uint64, np.int64, np.int32)
+
+
+def positional_index(docs: DataFrame, cfg: LeakConfig = LeakConfig(), id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The stored index of all words: one row per block of documents. With a ``path`` it is written there, to be read again.
 
     ``docs`` the ids of the block's documents and ``starts`` their first word's number within the block; ``terms`` the
-    words (numbers in the sorted vocabulary), ``cuts`` the bounds of their lists, ``postings`` word numbers within the block.
+    hashes of its words, ascending, ``cuts`` the bounds of their lists, ``postings`` word numbers within the block, ascending.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    rows = spread(rows)
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).where("id is not null and text is not null")
 
     def block(ids: list[np.ndarray], words: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         doc, w, n = np.concatenate(ids), np.concatenate(words), np.concatenate(sizes)
-        voc = shared.value
-        at = np.minimum(np.searchsorted(voc, w), max(len(voc) - 1, 0))
-        known = np.flatnonzero(voc[at] == w) if len(voc) else np.zeros(0, np.int64)
-        term = at[known]
-        o = np.argsort(term, kind="stable")
-        term, posting = term[o], known[o]
-        terms, cut = np.unique(term, return_index=True)
-        # a gap between documents, so that no run crosses from one to the next
-        return pa.RecordBatch.from_arrays(
-            [pa.array([_pack(x, k)], pa.binary()) for x, k in ((doc, np.int64), (np.r_[0, np.cumsum(n)], np.int64), (terms, np.int32), (np.r_[cut, len(term)], np.int64), (posting, np.int32))],
-            names=["docs", "starts", "terms", "cuts", "postings"],
-        )
+        o = np.argsort(w, kind="stable")
+        terms, cut = np.unique(w[o], return_index=True)
+        columns = (doc, np.r_[0, np.cumsum(n)], terms, np.r_[cut, len(w)], o)
+        return pa.RecordBatch.from_arrays([pa.array([_pack(x, k)], pa.binary()) for x, k in zip(columns, _KINDS)], names=["docs", "starts", "terms", "cuts", "postings"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, sizes, held = [], [], [], 0
@@ -128,22 +122,37 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray, cfg: LeakConfig, i
         if ids:
             yield block(ids, words, sizes)
 
-    return materialize(rows.mapInArrow(build, "docs binary, starts binary, terms binary, cuts binary, postings binary"), "positional_index")
+    index = rows.mapInArrow(build, INDEX)
+    if path is None:
+        return materialize(index, "positional_index")
+    index.write.parquet(path)
+    return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
-def term_counts(index: DataFrame, size: int) -> np.ndarray:
-    """Postings of each vocabulary word in the whole index (as many numbers as the vocabulary has words)."""
+def _slots(terms: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted word is in the ascending terms of a block; -1 for none."""
+    if not len(terms):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+    return np.where(terms[at] == wanted, at, -1)
+
+
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Postings of each word of a vocabulary in the whole index."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(len(shared.value), np.int64)
         for b in batches:
             for terms, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[np.frombuffer(terms, np.int32)] += np.diff(np.frombuffer(cuts, np.int64))
+                at = _slots(np.frombuffer(terms, np.uint64), shared.value)
+                found = np.flatnonzero(at >= 0)
+                total[found] += np.diff(np.frombuffer(cuts, np.int64))[at[found]]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     found = index.select("terms", "cuts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
+    out = np.zeros(len(vocabulary), np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -160,15 +169,47 @@ class _Block:
     """One index block, seen from the places of the test items."""
 
     def __init__(self, items: TestItems, row: tuple[bytes, ...]) -> None:
-        self.docs, self.starts, terms, self.cuts, self.postings = (np.frombuffer(x, k) for x, k in zip(row, (np.int64, np.int64, np.int32, np.int64, np.int32)))
-        self.term_of = np.searchsorted(items.vocabulary, items.words)
-        self.slot = np.full(len(items.vocabulary), -1, np.int64)
-        self.slot[terms] = np.arange(len(terms))
+        self.docs, self.starts, terms, self.cuts, self.postings = (np.frombuffer(x, k) for x, k in zip(row, _KINDS))
+        self.slot = _slots(terms, items.vocabulary)[np.searchsorted(items.vocabulary, items.words)]  # of each place
+        # all lists as one ascending list of (word, position)
+        self.keys = (np.repeat(np.arange(len(terms)), np.diff(self.cuts)) << 32) | self.postings
 
     def listed(self, place: int) -> np.ndarray:
-        s = self.slot[self.term_of[place]]
+        s = self.slot[place]
         return self.postings[self.cuts[s] : self.cuts[s + 1]] if s >= 0 else self.postings[:0]
 
+    def has(self, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the word of each place stands at each position: a look into its list, moved by the place."""
+        slot = self.slot[place]
+        key = (slot << 32) | at
+        i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return (slot >= 0) & (at >= 0) & (self.keys[i] == key) if len(self.keys) else np.zeros(len(place), bool)
+
+    def runs(self, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+        """(seed, position, words before it, words behind it) of the occurrences of seeds within a run of at least ``words``
+        agreeing words; ``lo`` and ``hi`` bound the places of the seeds' items."""
+        slot = self.slot[place]
+        n = np.where(slot >= 0, np.diff(np.r_[self.cuts, self.cuts[-1:]])[slot], 0)
+        seed = np.repeat(np.arange(len(place)), n)
+        at = self.postings[np.repeat(self.cuts[slot], n) + np.arange(len(seed)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)].astype(np.int64)
+        doc = np.searchsorted(self.starts, at, side="right") - 1
+        first, end = self.starts[doc], self.starts[doc + 1]
+        reach = []
+        for step in (-1, 1):
+            far = np.zeros(len(seed), np.int64)
+            alive = np.arange(len(seed))
+            for k in range(1, words):
+                p, x = place[seed[alive]] + step * k, at[alive] + step * k
+                inside = (p >= lo[seed[alive]]) & (p < hi[seed[alive]]) & (x >= first[alive]) & (x < end[alive])
+                alive, p, x = alive[inside], p[inside], x[inside]
+                alive = alive[self.has(p, x)]
+                if not len(alive):
+                    break
+                far[alive] = k
+            reach.append(far)
+        ok = reach[0] + reach[1] + 1 >= words
+        return seed[ok], at[ok], reach[0][ok], reach[1][ok]
+
     def agree(self, places: range, place: int, at: np.ndarray, doc: np.ndarray, slop: int) -> np.ndarray:
         """[at, places] whether each place's word lies within ``slop`` words of its place in the same document, if ``place`` is at ``at``."""
         first, last = self.starts[doc], self.starts[doc + 1] - 1
@@ -178,34 +219,22 @@ class _Block:
 def passages(items: TestItems, count: np.ndarray, seed_place: np.ndarray, seed_item: np.ndarray, row: tuple[bytes, ...], cfg: LeakConfig) -> list[tuple[int, int, int, int, int, str]]:
     """(document, item, word in document, word in item, length, kind) of the passages in one index block."""
     block = _Block(items, row)
-    docs, starts, listed = block.docs, block.starts, block.listed
+    docs, starts = block.docs, block.starts
     first = np.r_[0, np.cumsum(items.sizes)]
     runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # (document, item, alignment) -> runs of item words
-    for place, item in zip(seed_place.tolist(), seed_item.tolist()):
-        at = listed(place).astype(np.int64)
-        if not len(at):
-            continue
-        lo, hi = int(first[item]), int(first[item + 1])
-        # a run through the seed also holds the word before or after it
-        near = np.zeros(len(at), bool)
-        for k in (-1, 1):
-            if lo <= place + k < hi:
-                near |= _holds(listed(place + k), at + k, at + k)
-        if cfg.words > 1:
-            at = at[near]
-        if not len(at):
-            continue
+    there = block.slot[seed_place] >= 0
+    seed_place, seed_item = seed_place[there], seed_item[there]
+    total = np.r_[0, np.cumsum(np.diff(block.cuts)[block.slot[seed_place]])]
+    begin = 0
+    while begin < len(seed_place):  # so many seeds that their lists stay within bounds
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + cfg.look_rows, side="right")) - 1)
+        place, item = seed_place[begin:end], seed_item[begin:end]
+        seed, at, left, right = block.runs(place, first[item], first[item + 1], cfg.words)
         doc = np.searchsorted(starts, at, side="right") - 1
-        reach = range(max(lo, place - cfg.words + 1), min(hi, place + cfg.words))
-        agree = block.agree(reach, place, at, doc, 0)
-        centre = place - reach.start
-        left = np.logical_and.accumulate(agree[:, centre::-1], axis=1).sum(axis=1)
-        right = np.logical_and.accumulate(agree[:, centre:], axis=1).sum(axis=1)
-        length = left + right - 1
-        for j in np.flatnonzero(length >= cfg.words):
-            begin = place - int(left[j]) + 1 - lo
-            shift = int(at[j] - starts[doc[j]]) - (place - lo)
-            runs.setdefault((int(docs[doc[j]]), item, shift), []).append((begin, begin + int(length[j])))
+        own = place[seed] - first[item[seed]]
+        for d, i, shift, x, y in zip(docs[doc].tolist(), item[seed].tolist(), (at - starts[doc] - own).tolist(), (own - left).tolist(), (own + right + 1).tolist()):
+            runs.setdefault((d, i, shift), []).append((x, y))
+        begin = end
     out = []
     for (d, item, shift), found in runs.items():  # runs seen from several seeds are parts of one passage
         found.sort()
@@ -292,7 +321,7 @@ def _best_of(best: dict[int, tuple[int, int, int]], places: range, block: _Block
         best[d] = min(best.get(d, tuple(now)), tuple(now), key=lambda x: (-x[0], x[1], x[2]))
 
 
-def leaked_passages(docs: DataFrame, tests: DataFrame, cfg: LeakConfig = LeakConfig(), doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def leaked_passages(docs: DataFrame, tests: DataFrame, cfg: LeakConfig = LeakConfig(), doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, kind) of the passages of test items in documents.
 
     ``kind`` is ``exact`` for a longest run of at least ``words`` consecutive words of the item, ``near`` for the best
@@ -302,15 +331,15 @@ def leaked_passages(docs: DataFrame, tests: DataFrame, cfg: LeakConfig = LeakCon
     Words are runs of letters and digits in lower case. Null ids and texts, and items of fewer than ``words`` words, give
     no rows; repeated documents are reported with the same ids once. Test items are held against the stored index in
     blocks of ``query_words`` words; documents never leave their block, so a word in every document costs no shuffle.
+    ``index`` is an index of ``docs`` made before (``positional_index``); without one it is made, once for all blocks.
     """
     spark = docs.sparkSession
     test = tests.select(F.col(item_id).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    blocks = _item_blocks(test, cfg.query_words)
     schema = "doc_id long, item_id long, doc_word long, item_word long, n_words long, kind string"
     result = spark.createDataFrame([], schema)
-    for items in blocks:
-        index = positional_index(docs, items.vocabulary, cfg, doc_id, text_col)
-        count = term_counts(index, len(items.vocabulary))
+    for items in _item_blocks(test, cfg.query_words):
+        index = positional_index(docs, cfg, doc_id, text_col) if index is None else index
+        count = term_counts(index, items.vocabulary)
         shared = spark.sparkContext.broadcast((items, count, *items.seeds(cfg.words, count)))
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
