@@ -9,6 +9,11 @@
 * In every shard node pairs of the trie are walked together, differing bits are added up, and a pair of nodes is
   dropped when they exceed the budget. Survivors are compared exactly.
 * Runs in very many texts are shards too: they are cut into blocks, and each pair of blocks is a shard of bounded size.
+* Families, texts that follow one template, would make a pair of any two of them. They are joined first: texts with the
+  same smallest hash among their frequent runs are put in a random order, and neighbours in it are compared. What that
+  joins is one component, and from then on pairs inside a component, or inside one group of texts that can't be linked
+  to each other, are left out: of shards, of block pairs and of pairs of trie nodes. A link between components is never
+  left out, so the components at the end are the same.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ranksight.llm.shingles import bounded, mix, run_hashes, word_hashes
 from ranksight.operators.components import connected_components
-from ranksight.runtime import materialize, parallelism, spread
+from ranksight.runtime import broadcast_if_small, materialize, parallelism, spread
 
 BITS = 256
 #: Runs are told apart by 48 bits of their hash: two of the runs of a pair of texts coincide by chance once in 10^10 pairs of 200 runs.
@@ -36,8 +41,9 @@ SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 @dataclass(frozen=True)
 class NearDupConfig:
-    """``min_words`` leaves shorter texts out; without it every text that has a run takes part. ``sketch`` bounds the bytes of the sketch of run counts, ``shard_cap`` the members of a shard's block. In shards of up to
-    ``paired`` members those that can have no partner there, by sizes and places of the shared run, are dropped early."""
+    """``min_words`` leaves shorter texts out; without it every text that has a run takes part. ``sketch`` bounds the bytes of the sketch of run counts, ``shard_cap`` the members of a shard's block, ``part_cap`` those of a run that
+    one task looks through. In shards of up to ``paired`` members those that can have no partner there, by sizes and places of the shared run, are dropped early.
+    Runs in more than ``family`` texts are looked at for families. None of these changes the result."""
 
     words: int = 5
     similarity: float = 0.8
@@ -45,6 +51,8 @@ class NearDupConfig:
     sketch: int = 1 << 24
     shard_cap: int = 2_048
     paired: int = 64
+    part_cap: int = 1 << 17
+    family: int = 256
     pack_rows: int = 400_000
 
     def budget(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,18 +74,31 @@ def signatures(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(ones.astype(np.uint8).reshape(n, BITS), axis=1).view(">u8").astype(np.uint64).reshape(n, BITS // 64)
 
 
-def trie_self_join(shard: np.ndarray, sig: np.ndarray, size: np.ndarray, cfg: NearDupConfig) -> tuple[np.ndarray, np.ndarray]:
+def trie_self_join(shard: np.ndarray, sig: np.ndarray, size: np.ndarray, cfg: NearDupConfig, *labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of one shard whose signatures differ in at most their Hamming budget.
 
     The trie is the rows sorted by (shard, signature): a node is a range of rows that agree on the bits above its
-    depth. All node pairs of one depth are expanded together; pairs of single rows are settled at once.
+    depth. All node pairs of one depth are expanded together; pairs of single rows are settled at once. Rows with the
+    same value of one of the ``labels`` need no pair; a pair of nodes that hold one value only is not expanded.
     """
     order = np.lexsort((*sig.T[::-1], shard))
     shard, sig, size = shard[order], sig[order], size[order].astype(np.int64)
+    labels = [x[order] for x in labels]
+    ends = []  # where the run of equal labels ends that each row lies in
+    for x in labels:
+        last = np.r_[np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)]
+        ends.append(last[np.searchsorted(last, np.arange(len(x)), side="right")] if len(x) else last)
+
+    def needed(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(alo), bool)
+        for x, end in zip(labels, ends):
+            ok &= (end[alo] < ahi) | (end[blo] < bhi) | (x[alo] != x[blo])
+        return ok
+
     start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
     end = np.r_[start[1:], len(shard)]
     largest = np.maximum.reduceat(size, start) if len(start) else start
-    keep = end - start > 1
+    keep = (end - start > 1) & needed(start, end, start, end) if len(start) else end > start
     alo, ahi = start[keep], end[keep]
     blo, bhi, acc, top = alo.copy(), ahi.copy(), np.zeros(len(alo), np.int64), largest[keep]
     left, right = [], []
@@ -106,13 +127,16 @@ def trie_self_join(shard: np.ndarray, sig: np.ndarray, size: np.ndarray, cfg: Ne
         cross = (alo, amid, bmid, bhi, acc + 1, top)
         back = tuple(x[~same] for x in (amid, ahi, blo, bmid, acc + 1, top))
         alo, ahi, blo, bhi, acc, top = (np.concatenate(x) for x in zip(zero, one, cross, back))
-        ok = (ahi > alo) & (bhi > blo) & (acc <= cfg.budget(top, top))
+        ok = np.flatnonzero((ahi > alo) & (bhi > blo) & (acc <= cfg.budget(top, top)))
+        ok = ok[needed(alo[ok], ahi[ok], blo[ok], bhi[ok])]
         alo, ahi, blo, bhi, acc, top = (x[ok] for x in (alo, ahi, blo, bhi, acc, top))
     a, b = np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
     differ = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1)
     ok = differ <= cfg.budget(size[a], size[b])
     small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     ok &= small >= large * cfg.similarity - 1e-9
+    for x in labels:
+        ok &= x[a] != x[b]
     return order[a[ok]], order[b[ok]]
 
 
@@ -171,13 +195,17 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return _unpacked(b"".join(runs.to_pylist())), batch.column(batch.schema.get_field_index("size")).to_numpy().astype(np.int64)
 
 
-def run_sketch(sets: DataFrame, cfg: NearDupConfig) -> np.ndarray:
+def spark_cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def run_sketch(sets: DataFrame, total: int, cfg: NearDupConfig) -> np.ndarray:
     """A count sketch of the runs of all texts: uint8 codes that grow with the number of texts in a bucket.
 
     It ranks runs from rare to frequent. Any ranking gives the same links; a close one keeps the shards small. Its size
-    follows the collection up to ``sketch`` buckets, so the driver holds and broadcasts at most that many bytes.
+    follows the collection up to ``sketch`` buckets, so the driver holds and broadcasts at most that many bytes. As many
+    tasks count as there are cores, each over several splits, so what is shuffled follows the cluster, not the collection.
     """
-    total = sets.agg(F.sum("size")).first()[0] or 0
     size = 1 << 16
     while size < min(cfg.sketch, total // 4):
         size *= 2
@@ -203,8 +231,9 @@ def run_sketch(sets: DataFrame, cfg: NearDupConfig) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([_code(total).tobytes()], pa.binary())], names=["segment", "codes"])
 
-    parts = sets.select("size", "runs").mapInArrow(count, "segment long, counts binary")
-    found = parts.repartition(8, "segment").sortWithinPartitions("segment").mapInArrow(code, "segment long, codes binary").toArrow()
+    cores = spark_cores(sets)
+    parts = sets.select("size", "runs").coalesce(cores).mapInArrow(count, "segment long, counts binary")
+    found = parts.repartition(min(segments, cores), "segment").sortWithinPartitions("segment").mapInArrow(code, "segment long, codes binary").toArrow()
     out = np.zeros((segments, size // segments), np.uint8)
     for s, raw in zip(found.column("segment").to_pylist(), found.column("codes").to_pylist()):
         out[s] = np.frombuffer(raw, np.uint8)
@@ -229,69 +258,160 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(shard, id): the shards, each with at least two ids, in which each text takes part."""
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy()
+
+
+def _once(batch: pa.RecordBatch, *names: str) -> pa.RecordBatch:
+    """The first row of each value; copies within a batch count once."""
+    o = np.lexsort([_column(batch, n) for n in names])
+    same = np.ones(max(len(o) - 1, 0), bool)
+    for n in names:
+        x = _column(batch, n)[o]
+        same &= x[1:] == x[:-1]
+    return batch.take(pa.array(np.sort(o[np.r_[True, ~same][: len(o)]])))
+
+
+def family_candidates(sets: DataFrame, codes, cfg: NearDupConfig) -> DataFrame:
+    """(a, b): class pairs of texts next to each other in a random order of those with the same smallest frequent run.
+
+    Two independent hash functions give two orders, so the texts of a family hang together though no text has more than four
+    partners. A bucket of any size is streamed in slices; the signatures sort out most neighbours that can't be similar.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for b in batches for part in bounded(b, b.schema.get_field_index("runs"), BATCH_BYTES)):
+            b = _once(b, "cls", "lab")
+            h, size = _flat(b)
+            count = _decode(codes.value[(h & np.uint64(len(codes.value) - 1)).astype(np.int64)])
+            owner = np.repeat(np.arange(len(size)), size)[count > cfg.family]
+            h = h[count > cfg.family]
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+            if not len(start):
+                continue
+            rows = b.take(pa.array(owner[start]))
+            for j in range(2):
+                bucket = np.minimum.reduceat(mix(h ^ np.uint64(0xA0761D6478BD642F + j)), start)
+                draw = mix(_column(rows, "cls").view(np.uint64) + np.uint64(0xE7037ED1A0B428DB + j))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array((draw >> np.uint64(60)).astype(np.int32)), pa.array(draw.view(np.int64)), *[rows.column(rows.schema.get_field_index(n)) for n in ("cls", "lab", "size", *SIGNATURE)]], names=["bucket", "slice", "draw", "cls", "lab", "size", *SIGNATURE])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket, cls, lab, size = (_column(b, n) for n in ("bucket", "cls", "lab", "size"))
+            sig = np.stack([_column(b, n) for n in SIGNATURE], axis=1).view(np.uint64)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            long = np.repeat(np.diff(cut) >= cfg.family // 16, np.diff(cut))  # smaller ones are no matter
+            for k in (1, 2):
+                i = np.flatnonzero((bucket[k:] == bucket[:-k]) & long[k:] & (cls[k:] != cls[:-k]) & (lab[k:] != lab[:-k]))
+                ok = np.bitwise_count(sig[i] ^ sig[i + k]).sum(axis=1) <= cfg.budget(size[i], size[i + k])
+                x, y = cls[i[ok]], cls[i[ok] + k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = f"cls long, lab long, size int, {' long, '.join(SIGNATURE)} long"
+    found = sets.select("cls", "lab", "size", *SIGNATURE, "runs").mapInArrow(emit, f"bucket long, slice int, draw long, {rows}")
+    return found.repartition("bucket", "slice").sortWithinPartitions("bucket", "draw").mapInArrow(chain, "a long, b long").distinct()
+
+
+def shard_members(sets: DataFrame, codes, rows: int, cfg: NearDupConfig) -> DataFrame:
+    """(shard, id): the shards, each with at least two ids, in which each text takes part; ``rows`` counts the runs of all."""
     spark = sets.sparkSession
-    sketch = spark.sparkContext.broadcast(run_sketch(sets, cfg))  # at most cfg.sketch bytes
-    rows = sets.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, min(1 << 16, max(parallelism(spark), int(rows * (1 - cfg.similarity)) // cfg.pack_rows)))
+    parts = max(1, max(parallelism(spark), int(rows * (1 - cfg.similarity)) // cfg.pack_rows))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = sketch.value
         for b in (part for b in batches for part in bounded(b, b.schema.get_field_index("runs"), BATCH_BYTES)):
-            cls = b.column(b.schema.get_field_index("cls")).to_numpy()
-            first = np.sort(np.unique(cls, return_index=True)[1])  # copies within a batch count once
-            b = b.take(pa.array(first))
-            ids = b.column(b.schema.get_field_index("id")).to_numpy()
+            b = _once(b, "cls", "lab")
+            ids, comp, lab = (_column(b, n) for n in ("id", "comp", "lab"))
             h, size = _flat(b)
             owner = np.repeat(np.arange(len(size)), size)
-            n = codes[(h & np.uint64(len(codes) - 1)).astype(np.int64)]
+            n = codes.value[(h & np.uint64(len(codes.value) - 1)).astype(np.int64)]
             o = np.lexsort((h, n, owner))
             place = np.arange(len(h)) - np.r_[0, np.cumsum(size)][:-1][owner]
-            pick = o[place < cfg.prefix(size)[owner]]
-            h, n, member, place, size = h[pick], n[pick], ids[owner[pick]], place[place < cfg.prefix(size)[owner]], size[owner[pick]]
-            # a hot shard is cut into blocks; a member joins the shards of all pairs with its block
-            blocks = np.maximum(1, np.ceil(_decode(n) / cfg.shard_cap)).astype(np.int64)
-            mine = (mix(member.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            pick = place < cfg.prefix(size)[owner]
+            h, n, row, place = h[o[pick]], n[o[pick]], owner[pick], place[pick]
+            # a run of more texts than a task looks through is cut into blocks; a member joins all pairs with its block
+            blocks = np.maximum(1, np.ceil(_decode(n) / cfg.part_cap)).astype(np.int64)
+            mine = (mix(ids[row].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(h)), blocks)
             other = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks)][:-1], blocks)
             lo, hi = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
             shard = np.where(blocks[rep] > 1, mix(h[rep] + (lo * 65_537 + hi + 1).astype(np.uint64)) & RUN_MASK, h[rep])
-            member, place, size = member[rep], place[rep].astype(np.int32), size[rep].astype(np.int32)
-            part = (shard >> np.uint64(8 * RUN_BYTES - 16)).astype(np.int64) * parts >> 16
+            hot = _decode(n[rep]) > cfg.paired
+            row, place = row[rep], place[rep].astype(np.int32)
+            part = (mix(shard) % np.uint64(parts)).astype(np.int64) * 2 + hot  # rows of frequent runs come with their labels
             o = np.lexsort((shard, part))
-            shard, member, place, size, part = shard[o], member[o], place[o], size[o], part[o]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            cols = [pa.array([pack(x[cut[i] : cut[i + 1]]) for i in full], pa.binary()) for x, pack in ((shard, _packed), (member, _planes), (size, _planes), (place, _planes))]
-            yield pa.RecordBatch.from_arrays([pa.array(full), *cols], names=["part", "shard", "member", "size", "place"])
+            shard, row, place, part = shard[o], row[o], place[o], part[o]
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+            cols = [pa.array([pack(x[i:j]) for i, j in spans], pa.binary()) for x, pack in ((shard, _packed), (ids[row], _planes), (size[row].astype(np.int32), _planes), (place, _planes))]
+            cols += [pa.array([_planes(x[row[i:j]]) if part[i] & 1 else None for i, j in spans], pa.binary()) for x in (comp, lab)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *cols], names=["part", "shard", "member", "size", "place", "comp", "lab"])
+
+    def rare(held: list) -> tuple[np.ndarray, np.ndarray]:
+        """Of shards of few texts, the members that may have a partner there."""
+        shard = np.concatenate([_unpacked(x[0]) for x in held])
+        member, size, place = (np.concatenate([_unplanes(x[i], k) for x in held]) for i, k in ((1, np.int64), (2, np.int32), (3, np.int32)))
+        o = np.argsort(shard, kind="stable")
+        shard, member, size, place = shard[o], member[o], size[o].astype(np.int64), place[o].astype(np.int64)
+        start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        count = np.diff(np.r_[start, len(shard)])
+        group = np.repeat(np.arange(len(start)), count)
+        ok = count[group] > cfg.paired
+        small = np.where(ok, -1 - np.arange(len(shard)), group)
+        for k in range(1, min(cfg.paired, int(count.max()))):
+            a = np.flatnonzero(small[k:] == small[:-k])
+            b = a + k
+            # the first run two similar sets share leaves enough runs behind it in both
+            most = 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
+            good = (most >= cfg.overlap(size[a], size[b])) & (member[a] != member[b])
+            ok[a[good]] = True
+            ok[b[good]] = True
+        return shard[ok], member[ok]
+
+    def frequent(held: list) -> tuple[np.ndarray, np.ndarray]:
+        """Members of shards of many texts, in blocks of bounded size, without what one label holds together."""
+        shard = np.concatenate([_unpacked(x[0]) for x in held])
+        member, comp, lab = (np.concatenate([_unplanes(x[i], np.int64) for x in held]) for i in (1, 4, 5))
+        o = np.argsort(shard, kind="stable")
+        shard, member, comp, lab = shard[o], member[o], comp[o], lab[o]
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+        out: list[tuple[np.ndarray, np.ndarray]] = [(shard[:0], member[:0])]
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            out += blocks_of(shard[i], member[i:j], (comp[i:j], lab[i:j]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def blocks_of(h: np.uint64, member: np.ndarray, labels: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if any((x == x[0]).all() for x in labels):
+            return
+        if len(member) <= cfg.shard_cap:
+            yield np.full(len(member), h), member
+            return
+        # the most frequent label of the shard needs no pairs among its own: its blocks meet those of the others only
+        best = np.zeros(len(member), bool)
+        for x in labels:
+            value, of, n = np.unique(x, return_inverse=True, return_counts=True)
+            if n.max() > max(1, best.sum()):
+                best = of == n.argmax()
+        own, rest = member[best], member[~best]
+        cut = lambda x: [x[k :: max(1, -(-len(x) // cfg.shard_cap))] for k in range(max(1, -(-len(x) // cfg.shard_cap)))] if len(x) else []
+        own, rest = cut(own), cut(rest)
+        code = 1
+        for k, x in enumerate(rest):
+            for y in [*own, *rest[k:]]:
+                both = x if y is x else np.concatenate([x, y])
+                if y is not x or len(rest) == 1 and not own:
+                    yield np.full(len(both), mix(np.array([h + np.uint64(code << 40)]))[0] & RUN_MASK), both
+                code += 1
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each part, the members that may have a partner in their shard. A part comes in one piece of rows."""
+        """A part comes in one piece of rows and is held as a whole: some ``pack_rows`` members, or two blocks of ``part_cap``."""
         part, held = None, []
 
         def flush() -> pa.RecordBatch:
-            shard = np.concatenate([_unpacked(x[0]) for x in held])
-            member, size, place = (np.concatenate([_unplanes(x[i], k) for x in held]) for i, k in ((1, np.int64), (2, np.int32), (3, np.int32)))
-            o = np.argsort(shard, kind="stable")
-            shard, member, size, place = shard[o], member[o], size[o].astype(np.int64), place[o].astype(np.int64)
-            start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            count = np.diff(np.r_[start, len(shard)])
-            group = np.repeat(np.arange(len(start)), count)
-            ok = count[group] > cfg.paired
-            small = np.where(ok, -1 - np.arange(len(shard)), group)
-            for k in range(1, min(cfg.paired, int(count.max()))):
-                a = np.flatnonzero(small[k:] == small[:-k])
-                b = a + k
-                # the first run two similar sets share leaves enough runs behind it in both
-                most = 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
-                good = (most >= cfg.overlap(size[a], size[b])) & (member[a] != member[b])
-                ok[a[good]] = True
-                ok[b[good]] = True
-            return pa.RecordBatch.from_arrays([pa.array(shard[ok].view(np.int64)), pa.array(member[ok])], names=["shard", "id"])
+            shard, member = frequent(held) if part & 1 else rare(held)
+            return pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(member)], names=["shard", "id"])
 
         for b in batches:
-            for p, *packed in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for p, *packed in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if p != part and held:
                     yield flush()
                     held = []
@@ -300,21 +420,21 @@ def shard_members(sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
         if held:
             yield flush()
 
-    packed = sets.select("id", "cls", "size", "runs").mapInArrow(emit, "part long, shard binary, member binary, size binary, place binary")
-    return packed.repartition(min(parts, 4 * parallelism(spark)), "part").sortWithinPartitions("part").mapInArrow(survivors, "shard long, id long")
+    packed = sets.select("id", "cls", "lab", "comp", "size", "runs").mapInArrow(emit, "part long, shard binary, member binary, size binary, place binary, comp binary, lab binary")
+    return packed.repartition(min(2 * parts, 4 * parallelism(spark)), "part").sortWithinPartitions("part").mapInArrow(survivors, "shard long, id long")
 
 
 def candidate_pairs(members: DataFrame, sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """(a, b): pairs of classes, a < b, that the trie self-join leaves in some shard."""
     spark = sets.sparkSession
-    signed = members.join(sets.select("id", "cls", "size", *SIGNATURE).dropDuplicates(["id", "cls"]), "id").select("shard", "cls", "size", *SIGNATURE)
+    signed = members.join(sets.select("id", "cls", "comp", "lab", "size", *SIGNATURE).dropDuplicates(["id", "cls"]), "id").select("shard", "cls", "comp", "lab", "size", *SIGNATURE)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def pairs(x: list[np.ndarray]) -> pa.RecordBatch:
-            shard, cls, size, *sig = x
-            a, b = trie_self_join(shard, np.stack(sig, axis=1).view(np.uint64), size, cfg)
+            shard, cls, comp, lab, size, *sig = x
+            a, b = trie_self_join(shard, np.stack(sig, axis=1).view(np.uint64), size, cfg, comp, lab)
             a, b = cls[a], cls[b]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -392,19 +512,33 @@ def near_duplicate_groups(texts: DataFrame, cfg: NearDupConfig = NearDupConfig()
     than ``words`` or ``min_words`` words and, with ``group_col``, null group names take no part. Rows delivered twice count once;
     texts with equal run sets have one ``class_id``. Texts without a link don't come out; an empty table gives no rows.
     """
+    spark = texts.sparkSession
     sets = materialize(text_sets(texts, cfg, id_col, text_col, group_col), "text_sets")
-    members = shard_members(sets, cfg)
-    candidates = materialize(candidate_pairs(members, sets, cfg), "pairs")
-    links = verified_links(candidates, sets, cfg)
     classes = materialize(sets.groupBy("cls").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.countDistinct("id").alias("n")), "classes")
-    if group_col:
+    # texts with the same label can't be linked: those of one group, or else a text and itself
+    sets = sets.withColumn("lab", F.xxhash64("grp") if group_col else F.col("cls"))
+    runs = sets.agg(F.sum("size")).first()[0] or 0
+    codes = spark.sparkContext.broadcast(run_sketch(sets, runs, cfg))  # at most cfg.sketch bytes
+
+    def links(candidates: DataFrame) -> DataFrame:
+        found = verified_links(candidates, sets, cfg).select("a", "b")
+        if not group_col:
+            return found
         one = classes.select(F.col("cls").alias("a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))
         two = classes.select(F.col("cls").alias("b"), F.col("g0").alias("b0"), F.col("g1").alias("b1"))
-        links = links.join(one, "a").join(two, "b").where(F.least("a0", "b0") != F.greatest("a1", "b1"))
-        alone = classes.where("g0 != g1")
+        return found.join(one, "a").join(two, "b").where(F.least("a0", "b0") != F.greatest("a1", "b1")).select("a", "b")
+
+    first = materialize(family_candidates(sets, codes, cfg), "family_pairs")
+    if first.isEmpty():
+        edges, labelled = None, sets.withColumn("comp", F.col("cls"))
     else:
-        alone = classes.where("n > 1")
-    parts = connected_components(links.select("a", "b"))
+        edges = materialize(links(first), "family_links")
+        family = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+        labelled = sets.join(broadcast_if_small(family), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    candidates = materialize(candidate_pairs(shard_members(labelled, codes, runs, cfg), labelled, cfg), "pairs")
+    found = links(candidates)
+    parts = connected_components(found if edges is None else found.unionByName(edges))
+    alone = classes.where("g0 != g1" if group_col else "n > 1")
     label = alone.select("cls").join(parts.withColumnRenamed("node", "cls"), "cls", "full").select("cls", F.coalesce("component", "cls").alias("group_id"))
     return sets.select("id", "cls").distinct().join(label, "cls").select("id", "group_id", F.col("cls").alias("class_id")).distinct()
 

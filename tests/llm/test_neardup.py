@@ -96,6 +96,30 @@ def test_hot_runs_are_cut_and_lose_nothing(spark):
     assert groups(got) == brute(rows, cfg, True)
 
 
+@pytest.mark.parametrize("skills", [("a", "b", "c"), ("a",) * 30 + ("b",)])
+def test_families_are_joined_without_their_pairs(spark, skills):
+    """Texts on one template, beside others that share a part of it; blocks are small, so all ways are taken."""
+    rng = random.Random(len(skills))
+    template = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"e{rng.randrange(999)}" for w in template) + f" x{i}", rng.choice(skills)) for i in range(400)]
+    rows += [(1000 + i, " ".join(template[:20] + [f"o{rng.randrange(30)}" for _ in range(rng.randint(10, 40))]), rng.choice("abc")) for i in range(120)]
+    rows += [(2000 + i, " ".join(f"w{rng.randrange(500)}" for _ in range(30)), "a") for i in range(50)]
+    cfg = N.NearDupConfig(words=3, similarity=0.5, min_words=20, shard_cap=32, paired=8, part_cap=200, family=16, pack_rows=800)
+    df = spark.createDataFrame(rows, "doc_id long, text string, skill string").repartition(4)
+    assert groups(N.near_duplicate_groups(df, cfg, group_col="skill")) == brute(rows, cfg, True)
+
+
+def test_labels_leave_out_pairs():
+    rng = np.random.default_rng(1)
+    sig = np.repeat(rng.integers(0, 1 << 63, (1, N.BITS // 64), dtype=np.uint64), 60, axis=0)
+    sig[::7, 2] ^= np.uint64(5)
+    label = rng.integers(0, 4, 60)
+    a, b = N.trie_self_join(np.zeros(60, int), sig, np.full(60, 40), N.NearDupConfig(3, 0.5), label)
+    want = {(i, j) for i in range(60) for j in range(i) if label[i] != label[j]}
+    assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want
+    assert len(N.trie_self_join(np.zeros(60, int), sig, np.full(60, 40), N.NearDupConfig(3, 0.5), np.zeros(60))[0]) == 0
+
+
 def test_a_third_are_copies(spark):
     base = " ".join(f"w{i}" for i in range(30))
     rows = [(i, base, "ab"[i % 2]) for i in range(300)] + [(1000 + i, " ".join(f"x{i}y{k}" for k in range(30)), "a") for i in range(50)]
