@@ -1,9 +1,10 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
-Training time runs from 0 to 1. A source's weight is its share plus a slope around it, w(t) = share + slope (t - 1/2); the
-integral of its schedule times the total is its cumulative token demand D(t) = total (share t + slope (t² - t) / 2).
-Documents of a source follow each other in a fixed random order, epoch after epoch; the token at which a use of a
-document begins, c, is drawn at the time t with D(t) = c. Sorting all uses by t over ranges gives the training order.
+Training time runs from 0 to 1. A source's weight follows a schedule of its own, linear between knots, whose mean is its share;
+sources without one take what the others leave, in proportion to their shares. The integral of the schedule times the total
+is the source's cumulative token demand D(t). Documents of a source follow each other in a fixed random order, epoch after
+epoch; the token at which a use of a document begins, c, is drawn at the time t with D(t) = c: the piece of the schedule
+that holds c is found, and its quadratic inverted. Sorting all uses by t over ranges gives the training order.
 
 No source is gathered in one task: token offsets are prefix sums over (source, slice of the random order).
 """
@@ -36,13 +37,13 @@ class Tokenizer:
 class MixtureConfig:
     """``total``: tokens of the mixture; None takes the most for which every source with documents keeps its share.
 
-    ``slopes``: change of a source's weight from the first to the last training token; they must add up to 0.
+    ``schedules``: (time, relative weight) knots of a source's weight, from time 0 to 1; they are scaled to its share.
     ``slices``: least parts into which a source's random order is cut for its prefix sums; large sources get more, of
     about ``slice_rows`` documents.
     """
 
     total: int | None = None
-    slopes: dict[str, float] = field(default_factory=dict)
+    schedules: dict[str, tuple[tuple[float, float], ...]] = field(default_factory=dict)
     slices: int = 256
     slice_rows: int = 100_000
     seed: int = 17
@@ -108,6 +109,37 @@ def plan_shares(available: dict[str, int], targets: dict[str, tuple[float, int]]
     return sum(use.values()), use
 
 
+def weight_pieces(shares: dict[str, float], schedules: dict[str, tuple[tuple[float, float], ...]]) -> dict[str, list[tuple[float, float, float, float]]]:
+    """Of every source, the linear pieces of its weight: (demand before the piece, its begin, weight there, slope).
+
+    At every time the weights add up to the sum of the shares. Schedules that would leave the others less than nothing
+    are flattened towards constant weights, all alike and no more than needed.
+    """
+    live = {s: k for s, k in schedules.items() if shares.get(s)}
+    times = sorted({0.0, 1.0, *(float(t) for k in live.values() for t, _ in k)})
+    if times[0] < 0 or times[-1] > 1:
+        raise ValueError("times of a schedule run from 0 to 1")
+    weight = {}
+    for s, knots in live.items():
+        at, w = zip(*sorted(knots))
+        if min(w) < 0 or max(w) <= 0:
+            raise ValueError(f"a weight of {s} is below 0")
+        w = np.interp(times, at, w)
+        weight[s] = w * shares[s] / np.trapezoid(w, times)
+    rest = sum(x for s, x in shares.items() if s not in live)
+    # flattened as far as the others need it; without others the weights must add up by themselves
+    over = sum((w - shares[s] for s, w in weight.items()), np.zeros(len(times)))
+    flat = 1.0 if over.max() <= rest + 1e-12 and (rest or np.abs(over).max() < 1e-9) else (rest / over.max() if rest else 0.0)
+    weight = {s: shares[s] + flat * (w - shares[s]) for s, w in weight.items()}
+    left = rest - flat * over
+    out = {}
+    for s, share in shares.items():
+        w = weight[s] if s in live else np.maximum(left, 0) * (share / rest if rest else 0.0)
+        before = np.r_[0.0, np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(times))]
+        out[s] = [(float(before[j]), times[j], float(w[j]), float((w[j + 1] - w[j]) / (times[j + 1] - times[j]))) for j in range(len(times) - 1)]
+    return out
+
+
 def _offsets(sized: DataFrame, seed: int, slices: int) -> DataFrame:
     """``sized`` with ``start``: tokens of the source's documents before this one in the random order."""
     order = F.xxhash64("doc_id", F.lit(seed))
@@ -138,16 +170,10 @@ def training_order(docs: DataFrame, targets: DataFrame, cfg: MixtureConfig = Mix
     used = sized.where((F.col("tokens") > 0) & F.col("source").isin(list(goal)) & F.col("doc_id").isNotNull())
     have = {r["source"]: (r["n"], r["d"]) for r in used.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("d")).collect()}
     total, use = plan_shares({s: n for s, (n, _) in have.items()}, goal, cfg.total)
-    if abs(sum(cfg.slopes.values())) > 1e-9:
-        raise ValueError("slopes must add up to 0")
-    plan = []
-    for s, n in use.items():
-        share, slope = (n / total if total else 0.0), cfg.slopes.get(s, 0.0)
-        if abs(slope) > 2 * share + 1e-12:
-            raise ValueError(f"the weight of {s} would fall below 0")
-        tokens = have.get(s, (0, 0))[0]
-        plan.append((s, float(goal[s][0]), int(goal[s][1]), int(tokens), float(n), float(share), float(slope)))
-    table = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available_tokens long, demand double, share double, slope double")
+    shares = {s: n / total if total else 0.0 for s, n in use.items()}
+    pieces = weight_pieces(shares, cfg.schedules)
+    plan = [(s, float(goal[s][0]), int(goal[s][1]), int(have.get(s, (0, 0))[0]), float(n), pieces[s]) for s, n in use.items()]
+    table = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available_tokens long, demand double, pieces array<struct<before: double, begin: double, weight: double, slope: double>>")
     slices = max([cfg.slices, *(d // cfg.slice_rows for _, d in have.values())])
     placed = _offsets(used, cfg.seed, slices).join(F.broadcast(table), "source")  # one row per target source
     # full epochs, then the documents of the last one up to the demand, to the nearest half document
@@ -156,12 +182,13 @@ def training_order(docs: DataFrame, targets: DataFrame, cfg: MixtureConfig = Mix
     uses = F.least(F.col("max_repeats"), (full + F.when(F.col("start") + F.col("tokens") / 2 <= rest, 1).otherwise(0)).cast("int"))
     each = placed.withColumn("uses", uses).where("uses > 0").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
     c = (F.col("start") + (F.col("use") - 1) * F.col("available_tokens")) / F.lit(total or 1.0)
-    linear = F.col("share") - F.col("slope") / 2
-    # D(t) / total = linear t + slope t² / 2 = c, solved without cancellation
-    t = 2 * c / (linear + F.sqrt(F.greatest(F.lit(0.0), linear * linear + 2 * F.col("slope") * c)))
-    mixture = each.select("doc_id", "use", "source", "tokens", F.least(F.when(c <= 0, 0.0).otherwise(t), F.lit(1.0)).alias("position"))
-    mixture = mixture.repartitionByRange(parallelism(spark), "position", "source", "doc_id", "use").sortWithinPartitions("position", "source", "doc_id", "use")
-    got = mixture.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("uses"), F.max("use").alias("most_uses"))
+    # the last piece that begins at or before c; there, weight t + slope t² / 2 = c - before, solved without cancellation
+    piece = F.element_at(F.filter("pieces", lambda p: p["before"] <= c), -1)
+    rest_c, w, slope = c - piece["before"], piece["weight"], piece["slope"]
+    step = F.coalesce(2 * rest_c / F.nullif(w + F.sqrt(F.greatest(F.lit(0.0), w * w + 2 * slope * rest_c)), F.lit(0.0)), F.lit(0.0))
+    placed_uses = each.select("doc_id", "use", "source", "tokens", F.least(F.greatest(piece["begin"] + step, F.lit(0.0)), F.lit(1.0)).alias("position"))
+    mixture = placed_uses.repartitionByRange(parallelism(spark), "position", "source", "doc_id", "use").sortWithinPartitions("position", "source", "doc_id", "use")
+    got = each.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("uses"), F.max("use").alias("most_uses"))
     whole = F.sum("used_tokens").over(Window.partitionBy())  # one row per target source
     zero = {k: 0 for k in ("used_tokens", "documents", "uses", "most_uses")}
     shares = table.join(got, "source", "left").fillna(zero).withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0)))

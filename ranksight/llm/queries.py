@@ -65,8 +65,8 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), near)
 
 
-#: The mixture ends with more curated notes than it begins with, at the cost of raw logs.
-CURRICULUM = mixture.MixtureConfig(slopes={"skill_note": 0.08, "session_log": -0.08})
+#: Curated notes come in slowly and stay; raw logs fade after the first third.
+CURRICULUM = mixture.MixtureConfig(schedules={"skill_note": ((0, 0.5), (0.5, 1.0), (1, 1.4)), "session_log": ((0, 1.3), (0.33, 1.3), (1, 0.6))})
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

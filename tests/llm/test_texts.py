@@ -228,6 +228,17 @@ def test_plan_shares():
     assert mixture.plan_shares({"a": 10}, {"a": (1.0, 2)}, 1000)[1] == {"a": 20.0}
 
 
+def test_weight_pieces():
+    got = mixture.weight_pieces({"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0}, {"a": ((0, 0), (0.5, 1), (1, 0)), "d": ((0, 1), (1, 2))})
+    at = lambda s, t: next(w + k * (t - b) for _, b, w, k in reversed(got[s]) if b <= t)
+    for t in (0.0, 0.2, 0.5, 0.9, 1.0):
+        assert abs(sum(at(s, t) for s in "abc") - 1) < 1e-9 and abs(at("b", t) * 2 - at("c", t) * 3) < 1e-9
+    assert [x[0] for x in got["a"]] == [0.0, 0.25] and abs(at("a", 0.5) - 1) < 1e-9
+    flat = mixture.weight_pieces({"a": 0.6, "b": 0.4}, {"a": ((0, 0), (0.5, 1), (1, 0))})  # b would be below 0 in the middle
+    assert abs(flat["b"][1][2]) < 1e-9 and abs(flat["a"][1][2] - 1) < 1e-9
+    assert mixture.weight_pieces({"a": 1.0}, {"a": ((0, 1), (1, 2))})["a"] == [(0.0, 0.0, 1.0, 0.0)]
+
+
 def docs(spark, n=3000, seed=0):
     rng = random.Random(seed)
     rows = [(i, "word " * rng.randint(1, 60), rng.choice(["big"] * 8 + ["small", "MID", " mid", None, "other"])) for i in range(n)]
@@ -237,7 +248,7 @@ def docs(spark, n=3000, seed=0):
 
 def test_mixture(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.25, 3), ("mid", 0.25, 2), ("gone", 0.1, 5)], "source string, target_share double, max_repeats int")
-    cfg = mixture.MixtureConfig(slopes={"big": 0.3, "small": -0.3}, slices=16)
+    cfg = mixture.MixtureConfig(schedules={"big": ((0, 0.4), (0.25, 0.4), (0.5, 0.8), (1, 0.6)), "small": ((0, 2), (1, 0))}, slices=16)
     mix, shares = mixture.training_order(docs(spark), targets, cfg)
     rows = mix.collect()
     assert {r.source: r.most_uses <= r.max_repeats for r in shares.collect()} == {"big": True, "small": True, "mid": True, "gone": True}
@@ -256,8 +267,10 @@ def test_mixture(spark):
             break
         seen += r.tokens
         half[r.source] += r.tokens
-    for s, w, slope in (("big", 0.5, 0.3), ("small", 0.25, -0.3), ("mid", 0.25, 0.0)):
-        assert abs(half[s] / seen - (w - slope / 4)) < 0.02
+    big = 0.5 * (0.25 * 0.4 + 0.25 * 0.6) / 0.6
+    small = 0.25 * 0.75
+    for s, want in (("big", big), ("small", small), ("mid", 0.5 - big - small)):
+        assert abs(half[s] / seen - 2 * want) < 0.02
     again = mixture.training_order(docs(spark).repartition(9), targets, cfg)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
@@ -270,7 +283,7 @@ def test_mixture_edges(spark):
     for a, b in ((d.limit(0), t), (d, t.limit(0)), (d, t.where("source is null"))):
         assert mixture.training_order(a, b)[0].count() == 0
     with pytest.raises(ValueError):
-        mixture.training_order(d, t, mixture.MixtureConfig(slopes={"big": 0.5}))
+        mixture.training_order(d, t, mixture.MixtureConfig(schedules={"big": ((0, -1), (1, 2))}))
 
 
 # ---- repetition
