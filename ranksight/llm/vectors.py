@@ -300,33 +300,43 @@ def nearest_vectors(vectors: DataFrame, cfg: NeighborConfig = NeighborConfig(),
     shared = spark.sparkContext.broadcast((replace(tree, fitted=None, label=None), probes))  # max_shards centroids and cfg.calibration vectors
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, key, -1, 0) of each usable row; (id, shard, query, cosine) of the batch's best for each calibration query."""
+        """(id, key, -1, 0) of each usable row; of the whole task (shard, rows, -2, 0), and (id, shard, query, cosine) of the
+        best for each calibration query."""
         top, asked = shared.value
+        points = np.zeros(top.n_leaves, np.int64)
+        best = [np.full((len(asked), 0), v) for v in (np.float32(0), np.int64(0), np.int64(0))]  # cosine, id, shard
+        each = np.arange(len(asked))[:, None]
+        out = lambda i, k, q, s: pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(np.asarray(q, np.int32)), pa.array(np.asarray(s, np.float32))], names=["id", "key", "query", "sim"])
         for b in batches:
             ids, x = unit_rows(b, dim)
             if not len(x):
                 continue
+            shard = top.priorities(x).argmax(axis=1)
+            points += np.bincount(shard, minlength=len(points))
             s = asked @ x.T
             near = np.argpartition(-s, min(cfg.k + 1, len(x)) - 1, axis=1)[:, : cfg.k + 1] if len(x) > 1 else np.zeros((len(asked), 1), np.int64)
-            hit = near.ravel()
-            shard = top.priorities(x[hit]).argmax(axis=1)
-            query = np.repeat(np.arange(len(asked), dtype=np.int32), near.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[ids, ids[hit]]), pa.array(np.r_[row_keys(x), shard]), pa.array(np.r_[np.full(len(ids), -1, np.int32), query]), pa.array(np.r_[np.zeros(len(ids), np.float32), np.take_along_axis(s, near, axis=1).ravel()])],
-                names=["id", "key", "query", "sim"],
-            )
+            best = [np.concatenate([old, new], axis=1) for old, new in zip(best, (s[each, near], ids[near], shard[near]))]
+            if best[0].shape[1] > 4 * (cfg.k + 1):  # rows delivered twice take two places
+                keep = np.argsort(-best[0], axis=1, kind="stable")[:, : 2 * (cfg.k + 1)]
+                best = [x[each, keep] for x in best]
+            yield out(ids, row_keys(x), np.full(len(ids), -1), np.zeros(len(ids)))
+        yield out(np.arange(len(points)), points, np.full(len(points), -2), np.zeros(len(points)))
+        yield out(best[1].ravel(), best[2].ravel(), np.repeat(np.arange(len(asked)), best[0].shape[1]), best[0].ravel())
 
     seen = materialize(source.mapInArrow(first_pass, "id long, key long, query int, sim float"), "vector_keys")
-    members = materialize(seen.where("query < 0").select("id", "key").distinct(), "vector_members")
+    members = materialize(seen.where("query = -1").select("id", "key").distinct(), "vector_members")
     copied = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1"), "vector_copies")
     margin = _margin(seen.where("query >= 0"), tree, probes, cfg)
+    points = np.zeros(tree.n_leaves, np.int64)
+    for r in seen.where("query = -2").groupBy("id").agg(F.sum("key").alias("n")).collect():  # one row per shard
+        points[r["id"]] = r["n"]
     has_copies = not copied.isEmpty()
     if has_copies:  # keep one row of each group of copies in the search
         spare = members.join(copied, "key").where("id != rep").select("id")
         searched = source.join(spare, "id", "left_anti")
     else:
         searched = source
-    nn = _search(searched, tree, margin, total, cfg)
+    nn = _search(searched, tree, margin, points, cfg)
     if has_copies:
         nn = _expand_copies(nn, members, copied, cfg.k)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor_id"))
@@ -380,7 +390,7 @@ def _margin(found: DataFrame, tree: KMeansTree, probes: np.ndarray, cfg: Neighbo
     return float(np.quantile(key.max(axis=1)[q] - key[q, shard], cfg.recall, method="higher"))
 
 
-def _search(source: DataFrame, tree: KMeansTree, margin: float, total: int, cfg: NeighborConfig) -> DataFrame:
+def _search(source: DataFrame, tree: KMeansTree, margin: float, points: np.ndarray, cfg: NeighborConfig) -> DataFrame:
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast((replace(tree, fitted=None, label=None), margin))  # at most max_shards centroids
 
@@ -395,14 +405,13 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, total: int, cfg:
         return home, row, shard
 
     tree_leaves, dim, cap = tree.n_leaves, cfg.dim, cfg.shard_cap
-    # sizes of the shards, carried over from the fitted sample; a hot shard is cut into parts of about shard_cap points
-    # and 2 * shard_cap visits, so that no task holds an unbounded group
-    scale = total / len(tree.fitted)
+    # a hot shard is cut into parts of about shard_cap points, which were counted over all rows, and of 2 * shard_cap visits,
+    # of which the fitted sample tells how many there are for a point; so no task holds an unbounded group
     near = tree.priorities(tree.fitted)
     near = near >= near.max(axis=1, keepdims=True) - margin
-    points = np.bincount(tree.label, minlength=tree_leaves) * scale
+    visits = near.sum(axis=0) * (points.sum() / len(tree.fitted))
     p_parts = np.maximum(1, np.ceil(points / cap)).astype(np.int64)
-    q_parts = np.maximum(1, np.ceil(near.sum(axis=0) * scale / (2 * cap))).astype(np.int64)
+    q_parts = np.maximum(1, np.ceil(np.maximum(visits, points) / (2 * cap))).astype(np.int64)
     base = np.r_[0, np.cumsum(p_parts * q_parts)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,9 +473,19 @@ def _expand_copies(nn: DataFrame, members: DataFrame, copied: DataFrame, k: int)
     own = first.select(F.col("rep").alias("id"), F.col("copy").alias("neighbor_id"), F.lit(1.0).alias("similarity"))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor_id")
     ranked = wide.unionByName(own).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
-    # each member takes over the list of its representative, without itself
-    of_member = group.select(F.col("rep").alias("id"), F.col("id").alias("member"))
-    return ranked.join(of_member, "id", "left").select(F.coalesce("member", "id").alias("id"), "neighbor_id", "similarity").where("id != neighbor_id")
+    # each member takes over the list of its representative, without itself; members of a large group are dealt out in
+    # slices, each with a copy of that list of k + 1 rows, so that no task gets the whole group
+    sizes = copied.select("rep", F.ceil(F.col("n") / COPY_SLICE).cast("int").alias("slices"))
+    lists = ranked.join(sizes.withColumnRenamed("rep", "id"), "id", "left")
+    alone = lists.where("slices is null").select("id", "neighbor_id", "similarity")
+    dealt = lists.where("slices is not null").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumnRenamed("id", "rep").drop("slices")
+    of_member = group.join(sizes, "rep").select("rep", F.col("id").alias("member"), F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
+    taken = of_member.join(dealt, ["rep", "slice"]).select(F.col("member").alias("id"), "neighbor_id", "similarity")
+    return alone.unionByName(taken).where("id != neighbor_id")
+
+
+#: Members of a group of copies that one task gives their neighbours.
+COPY_SLICE = 4_096
 
 
 def neighbor_pairs(vectors: DataFrame, cfg: NeighborConfig = NeighborConfig()) -> DataFrame:
