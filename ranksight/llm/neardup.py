@@ -505,7 +505,9 @@ def verified_links(candidates: DataFrame, sets: DataFrame, cfg: NearDupConfig) -
 
 
 def near_duplicate_groups(texts: DataFrame, cfg: NearDupConfig = NearDupConfig(), id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
-    """One row per grouped text: (id, group_id, class_id). Groups are joined by links, directly or through others.
+    """One row per grouped text: (id, group_id, class_id), named by the smallest ids of the group and of the class.
+
+    Groups are joined by links, directly or through others.
 
     Two texts are linked if their word-run sets have at least ``similarity`` (intersection over union) and, with
     ``group_col``, their group names differ (without outer blanks, in lower case). Null ids, null texts, texts of fewer
@@ -540,7 +542,11 @@ def near_duplicate_groups(texts: DataFrame, cfg: NearDupConfig = NearDupConfig()
     parts = connected_components(found if edges is None else found.unionByName(edges))
     alone = classes.where("g0 != g1" if group_col else "n > 1")
     label = alone.select("cls").join(parts.withColumnRenamed("node", "cls"), "cls", "full").select("cls", F.coalesce("component", "cls").alias("group_id"))
-    return sets.select("id", "cls").distinct().join(label, "cls").select("id", "group_id", F.col("cls").alias("class_id")).distinct()
+    grouped = materialize(sets.select("id", "cls").distinct().join(label, "cls").select("id", "cls", "group_id").distinct(), "grouped")
+    least = grouped.groupBy("cls", "group_id").agg(F.min("id").alias("class_id"))
+    first = least.groupBy("group_id").agg(F.min("class_id").alias("first"))
+    names = least.join(first, "group_id").select("cls", "class_id", "first")
+    return grouped.join(names, "cls").select("id", F.col("first").alias("group_id"), "class_id")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
