@@ -249,3 +249,18 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every vector its three most similar ones of another owner; the stock threshold finds no pair in this table."""
     v = load(spark, sf_dir, "embeddings").withColumn("owner", F.col("label").cast("string"))
     return knn.semantic_duplicates(v, 0.45, 3).withColumn("score", F.round("score", 4))
+
+
+@query(
+    """
+WITH e AS (SELECT chunk_id AS id, min(lower(trim(skill_name))) AS g FROM chunks WHERE skill_name IS NOT NULL GROUP BY chunk_id),
+v AS (SELECT DISTINCT ON (chunk_id) chunk_id AS id, g, embedding::DOUBLE[] AS v FROM chunks_vec JOIN e ON e.id = chunk_id WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS i, b.id AS o, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.g <> b.g WHERE list_cosine_similarity(a.v, b.v) > 0.9872),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(s, 12) DESC, o) <= 3)
+SELECT least(i, o) AS a, greatest(i, o) AS b, round(max(s), 4) AS score FROM t GROUP BY ALL"""
+)
+def semantic_dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of other skills with nearly the same vector, at the cosine that the stock threshold means for unit vectors."""
+    owner = load(spark, sf_dir, "chunks").where("skill_name is not null").groupBy("chunk_id").agg(F.min(F.lower(F.trim("skill_name"))).alias("owner"))
+    v = load(spark, sf_dir, "chunks_vec").join(owner, "chunk_id").withColumnRenamed("chunk_id", "vec_id")
+    return knn.semantic_duplicates(v, 0.9872, 3, metric="cosine").withColumn("score", F.round("score", 4))

@@ -94,18 +94,29 @@ def test_nearest_ties_and_empty(spark):
     assert knn.nearest(same.limit(0), q, 3).count() == 0 and knn.nearest(same, q.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("metric,threshold", [("l2", 0.9), ("cosine", 0.95), ("l2", 0.4)])
-def test_similarity_join(spark, metric, threshold):
+@pytest.mark.parametrize("metric,threshold,cell_rows", [("l2", 0.9, 7), ("cosine", 0.95, 40), ("l2", 0.4, 40)])
+def test_nearest_of_others(spark, metric, threshold, cell_rows):
     x, v = vectors(spark, 400)
+    v = v.unionByName(v.where("vec_id < 5"))  # delivered twice
+    owner = np.arange(len(x)) % 3
     want = set()
     for i in range(len(x)):
-        for j in range(i + 1, len(x)):
-            s = x[i] @ x[j] if metric == "cosine" else 1 - np.linalg.norm(x[i] - x[j]) / 2
-            if s > threshold and i % 3 != j % 3:
-                want.add((i, j))
-    got = [(r.a, r.b) for r in knn.similarity_join(v, threshold, metric=metric, cell_rows=40).collect()]
+        s = x @ x[i] if metric == "cosine" else 1 - np.linalg.norm(x - x[i], axis=1) / 2
+        s[(owner == owner[i]) | (s <= threshold)] = -9
+        want |= {(i, j) for j in np.lexsort((np.arange(len(s)), -s))[:3].tolist() if s[j] > -9}
+    got = [(r.id, r.other) for r in knn.nearest_of_others(v, threshold, 3, metric=metric, cell_rows=cell_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert knn.similarity_join(v.limit(0), threshold).count() == 0
+    assert knn.nearest_of_others(v.limit(0), threshold, 3).count() == 0
+
+
+def test_nearest_of_others_with_copies(spark):
+    """A third of the rows are one vector: its smallest ids of other owners come out, and no pair list is made."""
+    rows = [(i, [1.0, 0.0], f"o{i % 2}") for i in range(300)] + [(1000 + i, [float(np.cos(i)), float(np.sin(i))], "c") for i in range(1, 90)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, owner string").repartition(3)
+    got = {}
+    for r in knn.nearest_of_others(v, 0.999999, 3, cell_rows=20).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert all(got[i] == ({1, 3, 5} if i % 2 == 0 else {0, 2, 4}) for i in range(300))
 
 
 def hits(spark, rows):
