@@ -17,34 +17,38 @@ PROMPT_CHARS = 6_000
 
 
 def extract(skills: DataFrame, ask: Callable[[str, str], str], text: str = "body") -> DataFrame:
-    """(name, answer): ``ask(name, text)`` for every skill, the text cut to 6,000 characters; null where asking fails."""
+    """(name, part, answer): ``ask(name, text)`` for every piece of 6,000 characters of a skill's text; null where asking fails."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for n, t in zip(f["name"], f["text"]):
-                try:
-                    out.append(ask(n, (t or "")[:PROMPT_CHARS]))
-                except Exception:  # noqa: BLE001  (one failed call must not lose the others)
-                    out.append(None)
-            yield pd.DataFrame({"name": f["name"], "answer": out})
+                for at in range(0, max(len(t or ""), 1), PROMPT_CHARS):
+                    try:
+                        answer = ask(n, (t or "")[at : at + PROMPT_CHARS])
+                    except Exception:  # noqa: BLE001  (one failed call must not lose the others)
+                        answer = None
+                    out.append((n, at // PROMPT_CHARS, answer))
+            yield pd.DataFrame(out, columns=["name", "part", "answer"])
 
-    return skills.select("name", F.col(text).alias("text")).mapInPandas(run, "name string, answer string")
+    return skills.select("name", F.col(text).alias("text")).mapInPandas(run, "name string, part int, answer string")
 
 
 def sanitize(answers: DataFrame, names: DataFrame, categories: tuple[str, ...] = CATEGORIES, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
     """(name, category, status, related, entities) of answers that hold a JSON object.
 
     Values outside the enumerations become null, references to unknown skills or to the skill itself go, lists are distinct and
-    sorted. Answers without an object are left out.
+    sorted. Of the pieces of one text the first valid value counts, lists are put together. Answers without an object are left out.
     """
-    a = answers.withColumn("a", F.from_json(json_object(F.col("answer")), ANSWER)).where("a is not null")
-    refs = a.select("name", F.explode("a.related").alias("ref")).join(names.select(F.col("name").alias("ref")).distinct(), "ref", "left_semi").where("ref != name")
-    related = refs.groupBy("name").agg(F.array_sort(F.collect_set("ref")).alias("related"))
+    read = answers.withColumn("part", F.col("part") if "part" in answers.columns else F.lit(0)).withColumn("a", F.from_json(json_object(F.col("answer")), ANSWER)).where("a is not null")
+    first = lambda c, known: F.min(F.when(F.col(c).isin(*known), F.struct("part", F.col(c).alias("v"))))["v"]
     none = F.array().cast("array<string>")
-    entities = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("a.entities", none), lambda e: F.trim(e)), lambda e: F.length(e) > 0)))
-    pick = lambda c, known: F.when(F.col(c).isin(*known), F.col(c))
-    return a.join(related, "name", "left").select("name", pick("a.category", categories).alias("category"), pick("a.status", statuses).alias("status"), F.coalesce("related", none).alias("related"), entities.alias("entities"))
+    many = lambda c: F.flatten(F.collect_list(F.coalesce(c, none)))
+    a = read.groupBy("name").agg(first("a.category", categories).alias("category"), first("a.status", statuses).alias("status"), many("a.related").alias("refs"), many("a.entities").alias("found"))
+    refs = a.select("name", F.explode("refs").alias("ref")).join(names.select(F.col("name").alias("ref")).distinct(), "ref", "left_semi").where("ref != name")
+    related = refs.groupBy("name").agg(F.array_sort(F.collect_set("ref")).alias("related"))
+    entities = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda e: F.trim(e)), lambda e: F.length(e) > 0)))
+    return a.join(related, "name", "left").select("name", "category", "status", F.coalesce("related", none).alias("related"), entities.alias("entities"))
 
 
 def upsert(proposals: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:

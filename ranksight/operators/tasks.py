@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranksight.functions.text import age_days, date_of
+from ranksight.functions.markdown import update_frontmatter_column
+from ranksight.functions.text import age_days, date_of, section_empty
 
 
 def matches(sphere: str | None = None, status: str | None = None, priority: str | None = None, id: str | None = None, tag: str | None = None) -> Column:
@@ -53,17 +54,36 @@ def group_counts(tasks: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return tasks.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
 
 
-def check(tasks: DataFrame, required: tuple[str, ...], domains: dict[str, tuple[str, ...]], dates: tuple[str, ...] = ()) -> DataFrame:
-    """(subject, problem, detail): missing fields, values outside their domain, bad dates, ids used twice, unknown references."""
+def check(tasks: DataFrame, required: tuple[str, ...], domains: dict[str, tuple[str, ...]], dates: tuple[str, ...] = (), sections: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
+    """(subject, problem, detail): missing fields, values outside their domain, bad dates, ids used twice, unknown references.
+
+    ``sections`` of the body must not be empty; ``numbered`` ids are numbers, the same as at the begin of the file's name.
+    """
     tests = [F.when(F.length(F.coalesce(c, F.lit(""))) == 0, F.struct(F.lit("missing").alias("problem"), F.lit(c).alias("detail"))) for c in required]
     tests += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*d), F.struct(F.lit("domain").alias("problem"), F.concat_ws("=", F.lit(c), c).alias("detail"))) for c, d in domains.items()]
     tests += [F.when(F.col(c).isNotNull() & age_days(F.col(c), F.current_date()).isNull(), F.struct(F.lit("date").alias("problem"), F.concat_ws("=", F.lit(c), c).alias("detail"))) for c in dates]
+    tests += [F.when(section_empty(F.col("body"), c), F.struct(F.lit("section").alias("problem"), F.lit(c).alias("detail"))) for c in sections]
+    if numbered:
+        number = F.regexp_extract("path", r"(?:^|/)0*(\d+)-[^/]*$", 1)
+        bad = ~F.col("id").rlike(r"^\d+$") | (F.regexp_replace("id", "^0+(?=.)", "") != number)
+        tests.append(F.when(bad, F.struct(F.lit("number").alias("problem"), F.col("id").alias("detail"))))
     own = tasks.select(F.col("path").alias("subject"), F.explode(F.array_compact(F.array(*tests))).alias("p")).select("subject", "p.problem", "p.detail")
     twice = tasks.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("path"))).where("n > 1 and id is not null").select(F.col("path").alias("subject"), F.lit("duplicate").alias("problem"), F.col("id").alias("detail"))
     refs = tasks.select(F.col("path").alias("subject"), F.explode("related").alias("detail")).join(tasks.select(F.col("id").alias("detail")).distinct(), "detail", "left_anti").select("subject", F.lit("reference").alias("problem"), "detail")
     return own.unionByName(twice).unionByName(refs)
 
 
+def close(notes: DataFrame, updates: dict[str, str], folder: str, remark: str = "") -> DataFrame:
+    """(path, target, content) of notes (path, content) whose fields are set and that go to ``folder``, a ``remark`` at their end.
+
+    ``sources.sinks.write_texts`` writes the targets; the caller then removes the old paths.
+    """
+    fields = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), F.array(F.lit(v)))])
+    new = update_frontmatter_column(F.col("content"), fields)
+    new = F.concat(F.rtrim(new), F.lit(f"\n\n{remark}\n")) if remark else new
+    return notes.select("path", F.concat(F.lit(folder.rstrip("/") + "/"), F.element_at(F.split("path", "/"), -1)).alias("target"), new.alias("content"))
+
+
 def first_hits(hits: DataFrame, tasks: DataFrame) -> DataFrame:
     """Tasks in the order of their best hit (path, rank), each once."""
     best = hits.groupBy("path").agg(F.min("rank").alias("rank"))

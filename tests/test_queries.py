@@ -5,7 +5,7 @@ import importlib
 import pytest
 from oracle import compare
 
-from ranksight.plans import analytics, maintenance, retrieval  # noqa: F401
+from ranksight.plans import analytics, fixtures, maintenance, retrieval  # noqa: F401
 from ranksight.plans.catalogue import QUERIES, SQL
 
 
