@@ -227,8 +227,8 @@ class VersionedTable:
         """
         base = self.version()
         values = [c for c in self.schema.names if c not in key]
-        old = self.snapshot(base, positions=True).select(*key, F.struct(*values).alias("_old"), "_file", "_row", F.lit(True).alias("_held"))
-        new = marks.select(*key, F.struct(*values).alias("_new"), F.lit(True).alias("_named"))
+        old = self.snapshot(base, positions=True).select(*key, F.struct(F.lit(True).alias("_there"), *values).alias("_old"), "_file", "_row", F.lit(True).alias("_held"))
+        new = marks.select(*key, F.struct(F.lit(True).alias("_there"), *values).alias("_new"), F.lit(True).alias("_named"))
         both = new.join(old, key, "full" if whole else "left")
         differs = F.col("_held").isNull() | F.col("_named").isNull() | ~F.col("_new").eqNullSafe(F.col("_old"))
         changed = materialize(both.where(differs), "changed_marks")

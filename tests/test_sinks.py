@@ -39,6 +39,19 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out)["same"] == 1
     run("kb", "reindex")
     assert current(spark, str(tmp_path / "ix"))
+    (tmp_path / "kb" / "tasks").mkdir()
+    (tmp_path / "kb" / "tasks" / "3-x.md").write_text("---\nid: 3\ntitle: T\nstatus: open\n---\nb")
+    run("tasks", "close", "3", "--write", "--today", "2026-03-01", "--remark", "bye")
+    assert (tmp_path / "kb/tasks/archive/3-x.md").read_text().endswith("b\n\nbye\n") and not (tmp_path / "kb/tasks/3-x.md").exists()
+    capsys.readouterr()
+    run("tasks", "next-id")
+    assert json.loads(capsys.readouterr().out)["next_id"] == 4
+    run("maintain", "lint")
+    assert {json.loads(x)["rule"] for x in capsys.readouterr().out.splitlines()} >= {"no_category", "index_drift"}
+    run("graph", "find", "a")
+    assert json.loads(capsys.readouterr().out)["name"] == "A"
+    with pytest.raises(SystemExit):
+        run("graph", "search")
     with pytest.raises(SystemExit):
         run("kb", "search")
     with pytest.raises(FileNotFoundError):
