@@ -227,7 +227,17 @@ def search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(corpus, _ask(spark, QUESTION, RUSSIAN), 10, "keyword").drop("low_confidence")
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT query_id, doc_id AS id, score, 'bm25' AS source FROM ({_bm25_sql(_sql_ask(QUESTION, RUSSIAN), 30)})),
+qv AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS query_id, embedding::DOUBLE[] AS e FROM embeddings QUALIFY row_number() OVER (ORDER BY vec_id) <= 2),
+s AS (SELECT query_id, vec_id AS id, 1 - list_distance(e, embedding::DOUBLE[]) / 2 AS score FROM qv, embeddings),
+h AS (SELECT * FROM b UNION ALL (SELECT *, 'vector' AS source FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30)),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS place FROM h),
+f AS (SELECT query_id, id, sum(1 / (60.0 + place)) AS score FROM p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM f QUALIFY rank <= 10),
+best AS (SELECT query_id, max(score) AS similarity FROM s GROUP BY query_id)
+SELECT query_id, rank, id, round(r.score, 4) AS score, replace(substring(text, 1, 300), chr(10), ' ') AS snippet, similarity < 0.518 AS low_confidence, lang, d.source FROM r JOIN best USING (query_id) LEFT JOIN documents d ON doc_id = id"""
+)
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both branches, fusion and abstention; the vectors of the first documents stand for the queries' own."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
