@@ -1,10 +1,13 @@
-"""Most similar vectors for every vector: a hierarchical k-means tree searched best bin first.
+"""Most similar vectors for every vector: hierarchical k-means trees searched best bin first.
 
-The upper levels of the tree are fitted on a bounded sample and cut the collection into *shards*; the lower
+The upper level of a tree is fitted on a bounded sample and cuts the collection into *shards*; the lower
 levels are built inside each shard from all of its vectors. A query opens bins in the order of a priority queue
 and widens its visits until the recall measured on calibration queries reaches the target, once among shards
 (a similarity margin) and once among the leaves of a shard (a number of leaves).
 
+The more shards there are, the more of them lie within a margin of a query. So several trees are fitted, and of them
+as many searched, each with the margin that is then needed, as open the fewest shards in all.
+
 Best-first order without a heap per query: a queue keyed by centroid similarity pops leaf A before leaf B exactly
 if the weakest similarity on A's path is higher than on B's. ``KMeansTree.priorities`` computes that key for a whole
 batch; ``KMeansTree.pop_order`` is the literal heap, and tests hold the two together.
@@ -15,7 +18,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +31,15 @@ from ranksight.runtime import materialize, spread
 
 @dataclass(frozen=True)
 class NeighborConfig:
-    """``sample`` bounds the rows the upper tree is fitted on, ``calibration`` the queries recall is calibrated on."""
+    """The upper levels are fitted on ``sample`` rows, or on ``shard_sample`` for each shard where that is more;
+    ``calibration`` bounds the queries recall is calibrated on, ``trees`` the trees that may be searched."""
 
     k: int = 5
     dim: int = 64
     sample: int = 20_000
+    shard_sample: int = 48
     calibration: int = 400
+    trees: int = 4
     recall: float = 0.99
     shard_rows: int = 12_000
     shard_cap: int = 48_000
@@ -66,7 +73,6 @@ class KMeansTree:
     parent: np.ndarray
     leaf: np.ndarray
     label: np.ndarray | None = field(repr=False)  # leaf number of each fitted row
-    fitted: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def fit(cls, x: np.ndarray, leaf_rows: int, branch: int, seed: int, max_leaves: int = 1 << 30) -> KMeansTree:
@@ -98,6 +104,18 @@ class KMeansTree:
                     todo.append((at, part))
         return cls(np.asarray(centers, np.float32).reshape(len(centers), -1), np.asarray(parent), np.asarray(leaf), label)
 
+    def flat(self, x: np.ndarray, rounds: int = 2) -> KMeansTree:
+        """One level of this tree's leaves, moved by Lloyd iterations over x: no leaf is shut off by a cut above it."""
+        centers = self.centers[self.leaf >= 0]
+        for _ in range(rounds):
+            label = np.concatenate([np.argmax(x[a : a + BLOCK] @ centers.T, axis=1) for a in range(0, len(x), BLOCK)])
+            order = np.argsort(label, kind="stable")
+            kept, start = np.unique(label[order], return_index=True)
+            sums = np.add.reduceat(x[order], start, axis=0)
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            centers = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centers[kept]).astype(np.float32)
+        return KMeansTree(centers, np.full(len(centers), -1), np.arange(len(centers)), None)
+
     @property
     def n_leaves(self) -> int:
         return int(self.leaf.max()) + 1 if len(self.leaf) else 0
@@ -105,6 +123,8 @@ class KMeansTree:
     def priorities(self, q: np.ndarray) -> np.ndarray:
         """[query, leaf]: the key under which a best-first queue pops the leaf (higher is earlier)."""
         key = q @ self.centers.T
+        if self.parent.max() < 0:  # one level; its leaves stand in order
+            return key
         for i, p in enumerate(self.parent):  # breadth order: a parent is final before its children
             if p >= 0:
                 np.minimum(key[:, i], key[:, p], out=key[:, i])
@@ -139,6 +159,9 @@ def exact_top(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarr
     return np.concatenate(out)
 
 
+#: Rows that are held against all shards at a time.
+BLOCK = 2_048
+
 #: More than float32 can be off in the difference of two cosines.
 SLACK = np.float32(2e-5)
 
@@ -197,15 +220,19 @@ def _bytes_column(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, cfg: NeighborConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, cosine) of the best ``k`` rows of a shard for each query, best bin first; x and q as stored."""
+def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, cfg: NeighborConfig, floor: float = -9.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, neighbour id, cosine) of the best ``k`` rows of a shard for each query, best bin first; x and q as stored.
+
+    Rows of a shard that are less similar than ``floor`` stand in for neighbours in other shards; leaves aren't widened for them.
+    """
     k, stored, asked = cfg.k, x, q
     x, q = units(x), units(q)
     tree = KMeansTree.fit(x, cfg.leaf_rows, cfg.branch, cfg.seed)
     order = np.argsort(tree.label, kind="stable")
     x, stored, ids, label = x[order], stored[order], ids[order], tree.label[order]
     bounds = np.searchsorted(label, np.arange(tree.n_leaves + 1))
-    # widen the visits on calibration queries until the target share of true neighbours lies in opened leaves
+    # widen the visits on calibration queries until the target share of true neighbours lies in opened leaves, or fewer, if
+    # they hold all but a quarter of the misses allowed among those that can be neighbours at all
     rng = np.random.default_rng(cfg.seed)
     probe = rng.choice(len(x), min(len(x), 384), replace=False)
     visits = tree.n_leaves
@@ -214,7 +241,10 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         key = tree.priorities(x[probe])
         place = np.argsort(np.argsort(-key, axis=1, kind="stable"), axis=1)
         need = np.take_along_axis(place, label[true], axis=1) + 1
+        near = np.einsum("ij,ikj->ik", x[probe], x[true]) >= floor
         visits = min(visits, int(np.quantile(need, cfg.recall, method="higher")))
+        if near.any():
+            visits = min(visits, int(np.quantile(need[near], 1 - (1 - cfg.recall) / 4, method="higher")))
     none = np.zeros(0, np.int64)
     found = [(none, none, np.zeros(0))]
     for a in range(0, len(q), 8192):  # bounds what is held of the opened leaves
@@ -296,58 +326,66 @@ def nearest_vectors(vectors: DataFrame, cfg: NeighborConfig = NeighborConfig(),
     upper = _fit_upper(source, total, cfg)
     if upper is None:
         return spark.createDataFrame([], "id long, neighbor_id long, similarity double, rank int")
-    tree, probes = upper
-    shared = spark.sparkContext.broadcast((replace(tree, fitted=None, label=None), probes))  # max_shards centroids and cfg.calibration vectors
+    trees, probes, held = upper
+    shared = spark.sparkContext.broadcast((trees, probes))  # cfg.trees times max_shards centroids and cfg.calibration vectors
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, key, -1, 0) of each usable row; of the whole task (shard, rows, -2, 0), and (id, shard, query, cosine) of the
-        best for each calibration query."""
-        top, asked = shared.value
-        points = np.zeros(top.n_leaves, np.int64)
-        best = [np.full((len(asked), 0), v) for v in (np.float32(0), np.int64(0), np.int64(0))]  # cosine, id, shard
+        """(id, key, -1, 0) of each usable row; of the whole task (shard, rows, -2 - tree, 0), and of the best for each
+        calibration query (id, shard, tree * queries + query, cosine)."""
+        tops, asked = shared.value
+        points = [np.zeros(top.n_leaves, np.int64) for top in tops]
+        best = [np.full((len(asked), 0), v) for v in (np.float32(0), np.int64(0), *[np.int64(0)] * len(tops))]  # cosine, id, shard in each tree
         each = np.arange(len(asked))[:, None]
         out = lambda i, k, q, s: pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(np.asarray(q, np.int32)), pa.array(np.asarray(s, np.float32))], names=["id", "key", "query", "sim"])
         for b in batches:
             ids, x = unit_rows(b, dim)
             if not len(x):
                 continue
-            shard = top.priorities(x).argmax(axis=1)
-            points += np.bincount(shard, minlength=len(points))
+            shards = [np.concatenate([top.priorities(x[a : a + BLOCK]).argmax(axis=1) for a in range(0, len(x), BLOCK)]) for top in tops]
+            for n, shard in zip(points, shards):
+                n += np.bincount(shard, minlength=len(n))
             s = asked @ x.T
             near = np.argpartition(-s, min(cfg.k + 1, len(x)) - 1, axis=1)[:, : cfg.k + 1] if len(x) > 1 else np.zeros((len(asked), 1), np.int64)
-            best = [np.concatenate([old, new], axis=1) for old, new in zip(best, (s[each, near], ids[near], shard[near]))]
+            best = [np.concatenate([old, new], axis=1) for old, new in zip(best, (s[each, near], ids[near], *(shard[near] for shard in shards)))]
             if best[0].shape[1] > 4 * (cfg.k + 1):  # rows delivered twice take two places
                 keep = np.argsort(-best[0], axis=1, kind="stable")[:, : 2 * (cfg.k + 1)]
                 best = [x[each, keep] for x in best]
             yield out(ids, row_keys(x), np.full(len(ids), -1), np.zeros(len(ids)))
-        yield out(np.arange(len(points)), points, np.full(len(points), -2), np.zeros(len(points)))
-        yield out(best[1].ravel(), best[2].ravel(), np.repeat(np.arange(len(asked)), best[0].shape[1]), best[0].ravel())
+        for j, n in enumerate(points):
+            yield out(np.arange(len(n)), n, np.full(len(n), -2 - j), np.zeros(len(n)))
+            yield out(best[1].ravel(), best[2 + j].ravel(), np.repeat(j * len(asked) + np.arange(len(asked)), best[0].shape[1]), best[0].ravel())
 
     seen = materialize(source.mapInArrow(first_pass, "id long, key long, query int, sim float"), "vector_keys")
     members = materialize(seen.where("query = -1").select("id", "key").distinct(), "vector_members")
     copied = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1"), "vector_copies")
-    margin = _margin(seen.where("query >= 0"), tree, probes, cfg)
-    points = np.zeros(tree.n_leaves, np.int64)
-    for r in seen.where("query = -2").groupBy("id").agg(F.sum("key").alias("n")).collect():  # one row per shard
-        points[r["id"]] = r["n"]
+    n_trees, margin, floor = _visits(seen.where("query >= 0"), trees, probes, held, cfg)
+    points = [np.zeros(tree.n_leaves, np.int64) for tree in trees]
+    for r in seen.where("query < -1").groupBy("query", "id").agg(F.sum("key").alias("n")).collect():  # one row per shard
+        points[-2 - r["query"]][r["id"]] = r["n"]
     has_copies = not copied.isEmpty()
     if has_copies:  # keep one row of each group of copies in the search
         spare = members.join(copied, "key").where("id != rep").select("id")
         searched = source.join(spare, "id", "left_anti")
     else:
         searched = source
-    nn = _search(searched, tree, margin, points, cfg)
+    parts = [_search(searched, tree, margin, floor, n, held, cfg) for tree, n in zip(trees[:n_trees], points)]
+    nn = parts[0] if n_trees == 1 else _merge_trees(parts)
     if has_copies:
         nn = _expand_copies(nn, members, copied, cfg.k)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor_id"))
     return nn.withColumn("rank", rank).where(F.col("rank") <= cfg.k)
 
 
-def _fit_upper(source: DataFrame, total: int, cfg: NeighborConfig) -> tuple[KMeansTree, np.ndarray] | None:
-    """The upper tree, fitted on at most ``1.25 * sample`` rows, and the calibration queries; None without usable rows."""
+def _fit_upper(source: DataFrame, total: int, cfg: NeighborConfig) -> tuple[list[KMeansTree], np.ndarray, np.ndarray] | None:
+    """The upper trees, the calibration queries and the rows that tell how many shards a row opens; None without usable rows.
+
+    Where the sample is large enough the latter two are kept out of the fit: a row is nearer to a centroid it has drawn to itself.
+    """
     if not total:
         return None
-    share = min(1.0, cfg.sample / total)
+    shards = min(cfg.max_shards, max(1, math.ceil(total / cfg.shard_rows)))
+    sample = max(cfg.sample, cfg.shard_sample * shards if shards > 1 else 0)
+    share = min(1.0, sample / total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,55 +399,93 @@ def _fit_upper(source: DataFrame, total: int, cfg: NeighborConfig) -> tuple[KMea
         return x[np.sort(np.unique(row_keys(x), return_index=True)[1])] if len(x) else x
 
     picked = source if share >= 1 else source.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
-    x = fetch(picked.limit(int(cfg.sample * 1.25)))
+    x = fetch(picked.limit(int(sample * 1.25)))
     if not len(x):
         x = fetch(source.where(F.size("v") == cfg.dim).where(F.exists("v", lambda e: e != 0)).limit(cfg.sample))
     if not len(x):
         return None
-    shards = min(cfg.max_shards, max(1, math.ceil(total / cfg.shard_rows)))
+    rng = np.random.default_rng(cfg.seed)
+    x = x[rng.permutation(len(x))]
+    held = 5 * cfg.calibration if len(x) >= 20 * cfg.calibration else 0
+    fitted, held = x[held:], x[:held] if held else x
     if shards == 1:
-        tree = KMeansTree(np.zeros((1, cfg.dim), np.float32), np.array([-1]), np.array([0]), np.zeros(len(x), np.int64))
+        trees = [KMeansTree(np.zeros((1, cfg.dim), np.float32), np.array([-1]), np.array([0]), None)]
     else:
-        tree = KMeansTree.fit(x, max(2, math.ceil(len(x) / shards)), cfg.branch, cfg.seed)
-    tree.label = tree.priorities(x).argmax(axis=1)
-    rng = np.random.default_rng(cfg.seed)
-    return replace(tree, fitted=x), x[rng.choice(len(x), min(len(x), cfg.calibration), replace=False)]
+        trees = [KMeansTree.fit(fitted, max(2, math.ceil(len(fitted) / shards)), cfg.branch, cfg.seed + j).flat(fitted) for j in range(cfg.trees)]
+    return trees, held[: cfg.calibration], held
 
 
-def _margin(found: DataFrame, tree: KMeansTree, probes: np.ndarray, cfg: NeighborConfig) -> float:
-    """The similarity margin within which other shards must be opened to reach the recall on the calibration queries,
-    whose true neighbours are taken from all rows."""
-    if tree.n_leaves == 1:
-        return 0.0
+def _visits(found: DataFrame, trees: list[KMeansTree], probes: np.ndarray, held: np.ndarray, cfg: NeighborConfig) -> tuple[int, float, float]:
+    """How many trees to search, and the similarity margin within which other shards must be opened in each, to reach the
+    recall on the calibration queries, whose true neighbours are taken from all rows; of all such choices the one that opens
+    the fewest shards. And the similarity that all but a tenth of the misses allowed among the true neighbours reach."""
+    if len(trees) == 1 and trees[0].n_leaves == 1:
+        return 1, 0.0, -9.0
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
-    rows = found.distinct().withColumn("place", best).where(f"place > 1 and place <= {cfg.k + 1}").select("query", "key").toArrow()  # k * calibration rows
+    rows = found.distinct().withColumn("place", best).where(f"place > 1 and place <= {cfg.k + 1}").select("query", "place", "key", "sim").toArrow()  # k * calibration rows for each tree
     if not rows.num_rows:
-        return 9.0
-    key = tree.priorities(probes)
-    q, shard = rows.column("query").to_numpy(), rows.column("key").to_numpy()
-    return float(np.quantile(key.max(axis=1)[q] - key[q, shard], cfg.recall, method="higher"))
-
-
-def _search(source: DataFrame, tree: KMeansTree, margin: float, points: np.ndarray, cfg: NeighborConfig) -> DataFrame:
+        return 1, 9.0, -9.0
+    query, place, shard = (rows.column(c).to_numpy() for c in ("query", "place", "key"))
+    order = np.lexsort((place, query))  # the trees' neighbours are the same, in the same order
+    query, shard = (c[order].reshape(len(trees), -1) for c in (query % len(probes), shard))
+    gap = []
+    for tree, q, there in zip(trees, query, shard):
+        key = tree.priorities(probes)
+        gap.append(key.max(axis=1)[q] - key[q, there])
+    margins = [float(np.quantile(np.min(gap[: n + 1], axis=0), cfg.recall, method="higher")) for n in range(len(trees))]
+    opened = np.zeros(len(trees))
+    for j, tree in enumerate(trees):
+        key = tree.priorities(held)
+        for n in range(j, len(trees)):
+            opened[n] += (key >= key.max(axis=1, keepdims=True) - margins[n]).sum() / len(held)
+    n = int(opened.argmin())
+    floor = float(np.quantile(rows.column("sim").to_numpy(), (1 - cfg.recall) / 10, method="lower")) - float(SLACK)
+    return n + 1, margins[n], floor
+
+
+#: Removes the shuffle files of a query as soon as its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _merge_trees(parts: list[DataFrame]) -> DataFrame:
+    """The neighbours found in several trees, each once. Trees are searched one after the other, and the shuffle files of
+    one go before the next, so that only one has its rows on the disks."""
+    conf = parts[0].sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        nn = reduce(DataFrame.unionByName, [materialize(part, "vector_tree") for part in parts])
+    finally:
+        conf.set(CLEANUP, before)
+    return nn.repartition("id").groupBy("id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
+
+
+def _search(source: DataFrame, tree: KMeansTree, margin: float, floor: float, points: np.ndarray, held: np.ndarray, cfg: NeighborConfig) -> DataFrame:
     spark = source.sparkSession
-    shared = spark.sparkContext.broadcast((replace(tree, fitted=None, label=None), margin))  # at most max_shards centroids
+    shared = spark.sparkContext.broadcast((tree, margin))  # at most max_shards centroids
 
     def bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home shard of each row and the (row, shard) visits to others."""
         top, delta = shared.value
-        key = top.priorities(x)
-        home = key.argmax(axis=1) if len(x) else np.zeros(0, np.int64)
-        near = key >= key.max(axis=1, keepdims=True) - delta if len(x) else key > 9
-        near[np.arange(len(x)), home] = False
-        row, shard = np.nonzero(near)
-        return home, row, shard
+        none = np.zeros(0, np.int64)
+        homes, rows, shards = [none], [none], [none]
+        for a in range(0, len(x), BLOCK):
+            key = top.priorities(x[a : a + BLOCK])
+            home = key.argmax(axis=1)
+            near = key >= key.max(axis=1, keepdims=True) - delta
+            near[np.arange(len(home)), home] = False
+            row, shard = np.nonzero(near)
+            homes.append(home)
+            rows.append(row + a)
+            shards.append(shard)
+        return np.concatenate(homes), np.concatenate(rows), np.concatenate(shards)
 
     tree_leaves, dim, cap = tree.n_leaves, cfg.dim, cfg.shard_cap
     # a hot shard is cut into parts of about shard_cap points, which were counted over all rows, and of 2 * shard_cap visits,
-    # of which the fitted sample tells how many there are for a point; so no task holds an unbounded group
-    near = tree.priorities(tree.fitted)
+    # of which a sample tells how many there are for a point; so no task holds an unbounded group
+    near = tree.priorities(held)
     near = near >= near.max(axis=1, keepdims=True) - margin
-    visits = near.sum(axis=0) * (points.sum() / len(tree.fitted))
+    visits = near.sum(axis=0) * (points.sum() / len(held))
     p_parts = np.maximum(1, np.ceil(points / cap)).astype(np.int64)
     q_parts = np.maximum(1, np.ceil(np.maximum(visits, points) / (2 * cap))).astype(np.int64)
     base = np.r_[0, np.cumsum(p_parts * q_parts)]
@@ -457,7 +533,7 @@ def _search(source: DataFrame, tree: KMeansTree, margin: float, points: np.ndarr
         q = np.flatnonzero(role != 0)
         q = q[np.unique(ids[q], return_index=True)[1]]
         if len(p) and len(q):
-            a, n, s = search_shard(ids[p], x[p], ids[q], x[q], cfg)
+            a, n, s = search_shard(ids[p], x[p], ids[q], x[q], cfg, floor)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(s)], names=["id", "neighbor_id", "similarity"])
 
     routed = source.mapInArrow(route, "cell long, id long, role int, x binary")

@@ -54,6 +54,26 @@ def test_recall(spark, shard_rows):
     assert len(got) == 3000 and all(len(n) == 5 for n in got.values())
 
 
+def test_many_shards_are_not_visited_by_every_row(spark, monkeypatch):
+    """Groups of eight among hundreds of shards: shards that a row opens in all trees together."""
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.normal(size=(800, 64)), 8, axis=0) + rng.normal(scale=0.12, size=(6400, 64))).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, embedding array<float>").repartition(4)
+    opened, search = [], V._search
+
+    def counted(source, tree, margin, *rest):
+        key = tree.priorities(unit)
+        opened.append((key >= key.max(axis=1, keepdims=True) - margin).sum() / len(unit))
+        return search(source, tree, margin, *rest)
+
+    monkeypatch.setattr(V, "_search", counted)
+    got = found(V.nearest_vectors(df, V.NeighborConfig(shard_rows=32, calibration=200)))
+    assert sum(opened) <= 5, opened
+    assert recall(got, brute(np.arange(len(x)), x.astype(float), 5)) >= 0.95
+    assert all(len(n) == len(set(n)) == 5 for n in got.values()) and len(got) == len(x)
+
+
 def test_a_third_are_copies_and_hot_shards(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(600, 64)), np.tile(rng.normal(size=(1, 64)), (300, 1)), np.tile(rng.normal(size=(1, 64)), (3, 1))]).astype(np.float32)
